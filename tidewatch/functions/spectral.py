@@ -66,7 +66,7 @@ def autocorrelation_residual(frame: Column) -> Column:
     def fn(x: np.ndarray) -> np.ndarray:
         n = x.shape[1]
         norm = x - x.mean(axis=1, keepdims=True)
-        var = x.var(axis=1)
+        var = x.var(axis=1, ddof=1)
         lags = np.arange(1, (n + 1) // 2)
         r = np.stack([(norm[:, : n - k] * norm[:, k:]).sum(axis=1) / (n - k) for k in lags], axis=1)
         r = np.divide(r, var[:, None], out=np.zeros_like(r), where=var[:, None] > 0)
