@@ -50,12 +50,16 @@ def seasonal_last(frame: Column) -> Column:
 
 
 def seasonal_ratio(frame: Column) -> Column:
-    """Last seasonal value over the median of the seasonal window; 10000 when the median is 0."""
+    """Last seasonal value over the median of the seasonal window; 10000 when the median is 0.
+
+    A median within rounding of 0 (most waves are symmetric) counts as 0.
+    """
 
     def fn(x: np.ndarray) -> np.ndarray:
         wave = _wave(x)
         mid = np.median(wave, axis=1)
-        return np.where(mid == 0, 10000.0, wave[:, -1] / np.where(mid == 0, 1.0, mid))
+        zero = np.abs(mid) <= 1e-9 * np.abs(wave).max(axis=1)
+        return np.where(zero, 10000.0, wave[:, -1] / np.where(zero, 1.0, mid))
 
     return _vectorised(fn)(frame)
 

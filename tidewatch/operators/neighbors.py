@@ -9,11 +9,11 @@ per query; the partial results are merged per query.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL_ROWS = 5_000
@@ -21,10 +21,6 @@ MAX_PIVOTS = 512
 BLOCK = 20_000
 
 
-def _vector(columns: Sequence[str]):
-    return F.array(*[F.col(c).cast("double") for c in columns])
-
-
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances between all rows of two small blocks."""
     out = np.empty((len(x), len(y)))
@@ -80,17 +76,17 @@ def nearest(
     asked = q.withColumn("_r", reach_udf("qv")).select("qid", "qv", F.col("_r.ub").alias("ub"), F.explode("_r.cells").alias("cell"))
     asked_sizes = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def blocks_of(counts: dict) -> F.Column:  # number of blocks per cell, from at most MAX_PIVOTS counts
-        values = [F.lit(-(-counts.get(c, 1) // block)) for c in range(len(centre))]
+    def blocks_of(counts: dict[int, int]) -> Column:  # blocks per cell, from at most MAX_PIVOTS counts
+        values = [F.lit(-(-counts.get(c, 1) // block)).cast("long") for c in range(len(centre))]
         return F.get(F.array(*values), F.col("cell"))
 
     t_blocks = blocks_of({c: r["n"] for c, r in sizes.items()})
     q_blocks = blocks_of(asked_sizes)
     left = asked.withColumn("qb", F.pmod(F.xxhash64("qid"), q_blocks)).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0), t_blocks - 1)).cast("long")
+        "tb", F.explode(F.sequence(F.lit(0).cast("long"), t_blocks - 1))
     )
     right = placed.withColumn("tb", F.pmod(F.xxhash64("tid"), t_blocks)).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), q_blocks - 1)).cast("long")
+        "qb", F.explode(F.sequence(F.lit(0).cast("long"), q_blocks - 1))
     )
 
     def compare(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
@@ -123,8 +119,6 @@ def nearest(
 
 
 def _iter_udf(fn, schema: str):
-    from collections.abc import Iterator
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return fn((b,) for b in batches)
 

@@ -47,7 +47,7 @@ def _ranked(rows, keys, probs, nearest, group_rows, accuracy, stats) -> DataFram
     by = keys or [GROUP]
     if not keys:
         rows = rows.withColumn(GROUP, F.lit(0))
-    margin = 3.0 / accuracy
+    margin = 3.0 / accuracy + 2.0 / group_rows  # sketch error, and two ranks for rounding
     edges = [x for p in probs.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = F.percentile_approx("_v", edges, accuracy)
     brackets = rows.groupBy(*by).agg(
@@ -56,6 +56,7 @@ def _ranked(rows, keys, probs, nearest, group_rows, accuracy, stats) -> DataFram
     if stats.max_rows > group_rows:
         brackets = durable(brackets)  # sketches are merged in any order: fix the brackets once
     names = list(probs)
+    whole = F.col("_n") <= group_rows  # short groups are ranked as a whole
     items = []
     for i, n in enumerate(names):
         p = probs[n]
@@ -64,8 +65,8 @@ def _ranked(rows, keys, probs, nearest, group_rows, accuracy, stats) -> DataFram
         items.append(
             F.struct(
                 F.lit(i).alias("i"),
-                F.when(F.lit(p <= margin), F.col("_min")).otherwise(F.get("_e", F.lit(2 * i))).alias("lo"),
-                F.when(F.lit(p >= 1 - margin), F.col("_max")).otherwise(F.get("_e", F.lit(2 * i + 1))).alias("hi"),
+                F.when(whole | F.lit(p <= margin), F.col("_min")).otherwise(F.get("_e", F.lit(2 * i))).alias("lo"),
+                F.when(whole | F.lit(p >= 1 - margin), F.col("_max")).otherwise(F.get("_e", F.lit(2 * i + 1))).alias("hi"),
                 lo_rank.cast("long").alias("r0"),
                 (lo_rank if nearest else F.least(lo_rank + 1, F.col("_n") - 1)).cast("long").alias("r1"),
                 (F.lit(0.0) if nearest else at - F.floor(at)).alias("w"),

@@ -43,7 +43,7 @@ def tagged_events(spark: SparkSession, sf: str) -> DataFrame:
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Events with a label, a score in [0, 1] and a 0/1 prediction."""
     rows = tagged_events(spark, sf)
-    score = F.round((F.col("k") / 100 + F.least(F.col("value"), F.lit(200.0)) / 200) / 2, 4)
+    score = (F.col("k") + F.floor(F.least(F.col("value"), F.lit(100.0)))) / 200
     return rows.select(
         "event_id", "ts", "user_id", "event_type", "value", "k",
         F.when(F.col("value") > 120, 1).otherwise(0).alias("is_anomaly"),
@@ -57,7 +57,7 @@ TAGGED_SQL = "SELECT event_id, ts, user_id, event_type, value, CAST(regexp_extra
 LABELLED_SQL = f"""
 SELECT *, CASE WHEN score > 0.6 THEN 1 ELSE 0 END AS predicted FROM (
   SELECT *, CASE WHEN value > 120 THEN 1 ELSE 0 END AS is_anomaly,
-         round((k / 100.0::DOUBLE + least(value, 200.0::DOUBLE) / 200.0::DOUBLE) / 2, 4) AS score
+         (k + CAST(floor(least(value, 100.0::DOUBLE)) AS BIGINT)) / 200 AS score
   FROM ({TAGGED_SQL}))"""
 
 

@@ -307,8 +307,10 @@ SELECT event_type, arg_max(lag, abs(r)) AS lag, arg_max(r, abs(r)) AS r,
        max(abs(r)) > 0.5 AND arg_max(lag, abs(r)) > 1 AS found FROM ({ACF_SQL}) GROUP BY event_type"""
 
 
-def _frames(n, fn, name, spec=TYPE):
-    return lambda spark, sf: _ids(features.rolling_apply(_ev(spark, sf), spec, n, fn, name), name)
+def _frames(n, fn, name, digits=6):
+    return lambda spark, sf: rounded(
+        features.rolling_apply(_ev(spark, sf), TYPE, n, fn, name).select("event_id", name), digits
+    )
 
 
 FRAME50 = f"(SELECT event_id, value, CASE WHEN count(value) OVER {frame_sql(50)} = 50 THEN list(value) OVER {frame_sql(50)} END AS f FROM ({EV}))"
@@ -326,6 +328,17 @@ SELECT event_id, round(list_sum([abs(i / 50.0::DOUBLE - len([x FOR x IN f[41:50]
 FROM (SELECT event_id, f, list_sort(f) AS s FROM {FRAME50})"""
 
 
+SEASON_RATIO_SQL = f"""
+SELECT event_id, round(CASE WHEN wave IS NULL THEN NULL WHEN abs(list_median(wave)) <= 1e-9 * list_max([abs(x) FOR x IN wave]) THEN 10000
+                            ELSE wave[50] / list_median(wave) END, 4) AS season_ratio
+FROM events LEFT JOIN (
+  SELECT event_id, [(c * cos(2 * pi() * j * t / 50) + s * sin(2 * pi() * j * t / 50)) / 50 FOR t IN range(50)] AS wave FROM (
+    SELECT event_id, arg_max(j, c * c + s * s) AS j, arg_max(c, c * c + s * s) AS c, arg_max(s, c * c + s * s) AS s FROM (
+      SELECT event_id, j, list_inner_product(f, cl) AS c, list_inner_product(f, sl) AS s FROM {FRAME50},
+        (SELECT j, [cos(2 * pi() * j * t / 50) FOR t IN range(50)] AS cl, [sin(2 * pi() * j * t / 50) FOR t IN range(50)] AS sl FROM range(1, 26) b(j)) basis
+      WHERE f IS NOT NULL) GROUP BY event_id)) USING (event_id)"""
+
+
 def decomposed(spark, sf):
     return _ids(seasonal.decompose(_ev(spark, sf), TYPE, 12), "trend", "seasonal", "residual")
 
@@ -372,11 +385,11 @@ JOIN (SELECT event_type, arg_max(bin, re * re + im * im) AS bin, arg_max(re, re
 
 def full_spectrum(spark, sf):
     rows = seasonal.full_spectrum(_ev(spark, sf), USER, 2)
-    return rounded(rows, 3)
+    return rounded(rows, 1)
 
 
 FULL_SPECTRUM_SQL = f"""
-SELECT user_id, rank, bin, n // bin AS period, round(power, 3) AS power FROM (
+SELECT user_id, rank, bin, n // bin AS period, round(power, 1) AS power FROM (
   SELECT user_id, k AS bin, any_value(n) AS n, sum(value * cos(2 * pi() * ((k * pos) % n) / n)) ** 2 + sum(value * sin(2 * pi() * ((k * pos) % n) / n)) ** 2 AS power,
          row_number() OVER (PARTITION BY user_id ORDER BY sum(value * cos(2 * pi() * ((k * pos) % n) / n)) ** 2 + sum(value * sin(2 * pi() * ((k * pos) % n) / n)) ** 2 DESC) AS rank
   FROM (SELECT user_id, value, row_number() OVER {order_sql('user_id')} - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM ({EV}))
@@ -572,7 +585,7 @@ QUERIES = [
     Query("autocorrelation_period", period, PERIOD_SQL),
     Query("autocorrelation_residual", _frames(50, sp.autocorrelation_residual, "residual"), AC_RESIDUAL_SQL),
     Query("window_wasserstein", _frames(50, sp.tail_wasserstein, "wasserstein"), WASSERSTEIN_SQL),
-    Query("seasonal_ratio", _frames(50, sp.seasonal_ratio, "season_ratio")),
+    Query("seasonal_ratio", _frames(50, sp.seasonal_ratio, "season_ratio", 4), SEASON_RATIO_SQL),
     Query("seasonal_decompose", decomposed, DECOMPOSE_SQL),
     Query("remove_seasonality", deseasoned),
     Query("strongest_frequencies", spectrum, SPECTRUM_SQL),
