@@ -26,6 +26,7 @@ PROFILES = {
     "dip": (("value_w5_entropy", "value_w25_entropy", "value_w50_entropy"), 4, False),
 }
 MAX_ITERATIONS = 800
+TOLERANCE = 1e-4
 SEED = 50
 BOUNDARY_PERCENTILE = 99.0
 CROSS_DATASET_PERCENTILE = 99.9
@@ -81,8 +82,12 @@ class ClusterDetector:
     @staticmethod
     def fit(normal: DataFrame, columns: Sequence[str], k: int, percentile: float = BOUNDARY_PERCENTILE,
             max_iter: int = MAX_ITERATIONS, seed: int = SEED, **kw) -> ClusterDetector:
+        spread = normal.agg(*[F.var_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in columns]).first()
+        mean_variance = sum(spread[c] or 0.0 for c in columns) / len(columns)
+        # stop when the summed squared shift of the centres is below TOLERANCE * mean variance
+        tol = max((TOLERANCE * mean_variance / k) ** 0.5, 1e-12)
         rows = normal.select(array_to_vector(_feature_array(columns)).alias("features"))
-        model = KMeans(k=k, maxIter=max_iter, seed=seed).fit(rows)
+        model = KMeans(k=k, maxIter=max_iter, seed=seed, tol=tol).fit(rows)
         centres = [list(map(float, c)) for c in model.clusterCenters()]
         return ClusterDetector(list(columns), centres).with_boundaries(normal, percentile, **kw)
 
