@@ -12,7 +12,7 @@ from tidewatch.operators.embedding import history_windows, matrix_windows
 from tidewatch.operators.quantiles import flag_above, quantiles
 from tidewatch.series import fill_forward
 
-HOT = [None, 7, 40]
+HOT = [None, 23]
 
 
 @pytest.fixture(scope="module")

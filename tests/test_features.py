@@ -6,7 +6,7 @@ from helpers import SPEC, by_id, difference, entropy, lag, make_series, own_mean
 from tidewatch.functions import spectral as sp
 from tidewatch.operators import features
 
-BLOCKS = [None, 17, 64]
+BLOCKS = [None, 17]
 
 
 def close(got, want, columns, tol=1e-7):
