@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.evaluate import union_flags
 from tidewatch.operators.quantiles import flag_above, quantiles
+from tidewatch.series import SeriesStats, durable
 
 # Detector profiles (features, clusters) and fit settings.
 PROFILES = {
@@ -89,6 +90,8 @@ class ClusterDetector:
         rows = normal.select(array_to_vector(_feature_array(columns)).alias("features"))
         model = KMeans(k=k, maxIter=max_iter, seed=seed, tol=tol).fit(rows)
         centres = [list(map(float, c)) for c in model.clusterCenters()]
+        sizes = model.summary.clusterSizes  # known from the fit: no counting job
+        kw.setdefault("stats", SeriesStats(sum(sizes), len(sizes), max(sizes)))
         return ClusterDetector(list(columns), centres).with_boundaries(normal, percentile, **kw)
 
     def with_boundaries(self, normal: DataFrame, percentile: float, **kw) -> ClusterDetector:
@@ -269,8 +272,8 @@ class IsolationModel:
         return df.withColumn(out, F.pandas_udf(run, "double")(_feature_array(self.columns)))
 
     def predict(self, df: DataFrame, contamination: float = 0.03, out: str = "predicted", **kw) -> DataFrame:
-        """The top share by score is flagged."""
-        return flag_above(self.transform(df), "score", 100.0 * (1 - contamination), out, **kw)
+        """The top share by score is flagged.  Scores are written once: the cut and the result read them."""
+        return flag_above(durable(self.transform(df)), "score", 100.0 * (1 - contamination), out, **kw)
 
 
 def assembled(columns: Sequence[str], stages: Sequence, out: str = "features") -> Pipeline:

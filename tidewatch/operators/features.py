@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import frames as fr
 from tidewatch.functions.scalars import safe_ratio
 from tidewatch.functions.spectral import seasonal_last
-from tidewatch.series import SeriesSpec, over_series
+from tidewatch.series import POS, SeriesSpec, fill_forward, over_series, series_stats
 
 SEASON_WINDOW = 50
 
@@ -163,9 +163,8 @@ def with_peak_distance(df: DataFrame, spec: SeriesSpec, out: str = "rows_since_p
     neighbouring levels are lower.  Runs of equal values are found by grouping, so a flat top may
     have any length.
     """
-    from tidewatch.series import POS, fill_forward
-
     v = F.col(spec.value)
+    kw.setdefault("stats", series_stats(df, spec.series))
 
     def marks(rows: DataFrame, w: WindowSpec) -> DataFrame:
         return rows.withColumns(

@@ -16,18 +16,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL_ROWS = 5_000
-MAX_PIVOTS = 512
-BLOCK = 20_000
+MAX_PIVOTS = 4_096
+BLOCK = 5_000
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances between all rows of two small blocks."""
-    out = np.empty((len(x), len(y)))
-    for i in range(0, len(x), 256):
-        d = x[i : i + 256, None, :] - y[None, :, :]
-        out[i : i + 256] = np.sqrt((d * d).sum(axis=2))
-    return out
+    """Euclidean distances between all rows of two small blocks, one dimension at a time."""
+    out = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        d = x[:, j, None] - y[None, :, j]
+        out += d * d
+    return np.sqrt(out)
 
 
 def nearest(
@@ -43,7 +42,7 @@ def nearest(
     qid_type, tid_type = q.schema["qid"].dataType.simpleString(), t.schema["tid"].dataType.simpleString()
     need = k + 1 if exclude_same else k
     n_train = t.count()
-    n_pivots = pivots or int(min(MAX_PIVOTS, max(1, n_train // CELL_ROWS)))
+    n_pivots = pivots or int(min(MAX_PIVOTS, max(1, n_train**0.5)))  # balances pivots against rows per cell
     chosen = t.orderBy(F.xxhash64("tid"), "tid").limit(n_pivots).select("tv").collect()
     centre = np.array([r["tv"] for r in chosen], dtype=float)
 
@@ -101,11 +100,14 @@ def nearest(
             if exclude_same:
                 d = np.where(part["qid"].to_numpy()[:, None] == tid[None, :], np.inf, d)
             m = min(k, d.shape[1])
-            order = np.argsort(d, axis=1, kind="stable")[:, :m]
-            dist = np.take_along_axis(d, order, axis=1)
-            out.append(
-                pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), m), "tid": tid[order].ravel(), "distance": dist.ravel()})
-            )
+            limit = np.partition(d, m - 1, axis=1)[:, m - 1]
+            qi, ti = np.nonzero(d <= limit[:, None])  # k rows per query, and ties of the last one
+            dist = d[qi, ti]
+            order = np.lexsort((ti, dist, qi))
+            qi, ti, dist = qi[order], ti[order], dist[order]
+            keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < m
+            qi, ti, dist = qi[keep], ti[keep], dist[keep]
+            out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[qi], "tid": tid[ti], "distance": dist}))
         both = pd.concat(out)
         return both[np.isfinite(both["distance"])]
 

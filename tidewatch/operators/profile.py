@@ -53,16 +53,18 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles (exact), max per column, one row per column."""
-    out = []
-    for c in columns:
-        q = quantiles(df, [], c, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-        m = df.agg(
-            F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"),
-        )
-        out.append(m.join(q, F.lit(True)))  # two single-row summaries
-    return reduce(DataFrame.unionByName, out)
+    """count, mean, std, min, quartiles (exact), max per column, one row per column.
+
+    The columns become (column, value) pairs inside the scan and are aggregated map-side.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(F.explode(cells).alias("x")).select("x.column", "x.value")
+    moments = long.groupBy("column").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    quartiles = quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return moments.join(quartiles, "column", "left")
 
 
 def is_missing(df: DataFrame, column: str) -> Column:
@@ -99,25 +101,37 @@ def new_values(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
 
 def drift_report(train: DataFrame, test: DataFrame, columns: Sequence[str], max_distinct: int = 10) -> DataFrame:
     """Per column: value ranges for numeric columns with more than ``max_distinct`` train values,
-    else the test values unseen in train."""
-    numeric = {f.name for f in train.schema.fields if isinstance(f.dataType, T.NumericType)}
-    distinct = train.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).first()
-    out = []
+    else the test values unseen in train.
+
+    Ranges of all columns come from one pass over each table.
+    """
+    numeric = [f.name for f in train.schema.fields if f.name in columns and isinstance(f.dataType, T.NumericType)]
+    # collect_set would keep every value; the sketch answers all clear cases in the same pass
+    sketch = [F.approx_count_distinct(c, 0.01).alias(f"d_{c}") for c in numeric]
+
+    def ranges(side: str) -> list[Column]:
+        return [f(c).cast("double").alias(f"{side}_{n}_{c}") for c in numeric for n, f in (("min", F.min), ("max", F.max))]
+
+    a, b = train.agg(F.count(F.lit(1)).alias("n"), *ranges("train"), *sketch).first(), test.agg(F.count(F.lit(1)).alias("n"), *ranges("test")).first()
+
+    def many(c: str) -> bool:
+        if abs(a[f"d_{c}"] - max_distinct) > 2 + max_distinct // 5:
+            return a[f"d_{c}"] > max_distinct
+        return train.select(c).distinct().limit(max_distinct + 1).count() > max_distinct
+
+    wide = [c for c in numeric if many(c)]
+    rows = [(c, a[f"train_min_{c}"], a[f"train_max_{c}"], b[f"test_min_{c}"], b[f"test_max_{c}"], None) for c in wide]
+    schema = "`column` string, train_min double, train_max double, test_min double, test_max double, new_value string"
+    out = [train.sparkSession.createDataFrame(rows, schema)]
+    none = F.lit(None).cast("double")
     for c in columns:
-        wide = c in numeric and (
-            distinct[c] > 2 * max_distinct or train.select(c).distinct().limit(max_distinct + 1).count() > max_distinct
-        )
-        if wide:
-            a = train.agg(F.min(c).cast("double").alias("train_min"), F.max(c).cast("double").alias("train_max"))
-            b = test.agg(F.min(c).cast("double").alias("test_min"), F.max(c).cast("double").alias("test_max"))
-            row = a.join(b, F.lit(True)).select(F.lit(c).alias("column"), "*", F.lit(None).cast("string").alias("new_value"))
-        else:
-            none = F.lit(None).cast("double")
-            row = new_values(train, test, c).select(
-                F.lit(c).alias("column"), none.alias("train_min"), none.alias("train_max"), none.alias("test_min"),
-                none.alias("test_max"), F.col(c).cast("string").alias("new_value"),
+        if c not in wide:
+            out.append(
+                new_values(train, test, c).select(
+                    F.lit(c).alias("column"), *[none.alias(f"{t}_{m}") for t in ("train", "test") for m in ("min", "max")],
+                    F.col(c).cast("string").alias("new_value"),
+                )
             )
-        out.append(row)
     return reduce(DataFrame.unionByName, out)
 
 

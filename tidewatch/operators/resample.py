@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.series import SeriesSpec, fill_forward
+from tidewatch.series import SeriesSpec, fill_forward, series_stats
 
 
 def round_time(ts: Column, seconds: int = 10) -> Column:
@@ -36,8 +36,9 @@ def interpolate_by_time(df: DataFrame, columns: Sequence[str], time: str = "date
     """Linear in time between neighbours; after the last value it stays; before the first stays NULL."""
     spec = SeriesSpec(tuple(keys), (time,), columns[0])
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.unix_micros(time).alias("t"), F.col(c).cast("double").alias("v"))) for c in columns}
-    rows = fill_forward(df, spec, {f"_b_{c}": s for c, s in known.items()}, **kw)
-    rows = fill_forward(rows, spec, {f"_a_{c}": s for c, s in known.items()}, backward=True, **kw)
+    stats = series_stats(df, spec.series)
+    rows = fill_forward(df, spec, {f"_b_{c}": s for c, s in known.items()}, stats=stats, **kw)
+    rows = fill_forward(rows, spec, {f"_a_{c}": s for c, s in known.items()}, backward=True, stats=stats, **kw)
     t = F.unix_micros(time)
 
     def filled(c: str) -> Column:

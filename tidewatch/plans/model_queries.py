@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import detect, features, models, normalize, split, tolerance
 from tidewatch.operators import evaluate as ev
 from tidewatch.operators.embedding import flat, matrix_windows
-from tidewatch.plans.roles import LABELLED_SQL, TYPE, Query, labelled, own_mean_sql, rounded, stats_sql, table
+from tidewatch.plans.roles import LABELLED_SQL, TYPE, USER, Query, labelled, rounded, stats_sql
 from tidewatch.plans.series_queries import _with_stats
 from tidewatch.series import durable, over_series
 
@@ -118,7 +118,7 @@ def isolation_share(spark, sf):
 def window_reconstruction(spark, sf):
     rows = labelled(spark, sf).select("event_id", "event_type", "ts", "value", "k", "is_anomaly")
     rows = normalize.zscore_per_group(rows, ["event_type"], ["value", "k"])
-    windows = flat(matrix_windows(rows, TYPE, ["value", "k"], 5, "is_anomaly"))
+    windows = durable(flat(matrix_windows(rows, TYPE, ["value", "k"], 5, "is_anomaly")).drop("window"))
     scored = detect.reconstruction_scores(windows.where("window_label = 0").select("vector"), windows, "vector", 4)
     return rounded(detect.flag_top_scores(scored).select("event_id", "window_label", "score", "predicted"), 4)
 
@@ -156,6 +156,19 @@ def experiments(spark, sf):
     return rounded(models.apply_experiments(rows, "event_type", detectors))
 
 
+def top_group_detection(spark, sf):
+    """A fitted detector over the ten busiest users only, all groups in one transform."""
+    from tidewatch.operators.profile import rows_of_top_keys
+
+    rows = feature_rows(spark, sf)
+    model = models.fit("deep_boosted_trees", rows, COLUMNS)
+    groups = rows_of_top_keys(labelled(spark, sf), "user_id", "event_id").select("event_id", "user_id", "event_type", "ts", "value", "is_anomaly")
+    groups = over_series(groups, USER, lambda r, w: _with_stats(r, w), before=50)
+    return models.predict(model, groups, COLUMNS, models.GROUP_SCORE_CUT).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("predicted").alias("flags")
+    )
+
+
 def _rule_sql(name: str, rule: str) -> str:
     from tidewatch.plans.evaluation_queries import scores_sql
 
@@ -175,6 +188,7 @@ QUERIES = [
     Query("ridge_scores", _model("ridge", 0.0)),
     Query("ridge_weighted_scores", _model("ridge", 0.0, balance="weight")),
     Query("dense_network_scores", _model("dense_network", hidden=(16, 16), rounds=20, balance="replicate")),
+    Query("top_group_detection", top_group_detection),
     Query("feature_importances", importances),
     Query("model_evaluation", model_evaluation),
     Query("fold_evaluation", fold_evaluation),

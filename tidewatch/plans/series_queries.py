@@ -12,7 +12,7 @@ from tidewatch.plans.roles import (
     ALL, LABELLED_SQL, TAGGED_SQL, TYPE, USER, Query, events, frame_sql, labelled, order_sql, own_mean_sql, ratio_sql,
     rounded, rounded_sql, stat_names, stats_sql, tagged_events,
 )
-from tidewatch.series import POS, over_series
+from tidewatch.series import over_series, series_stats
 
 EV = "SELECT event_id, event_type, user_id, ts, value FROM events"
 POS_SQL = f"row_number() OVER {order_sql()} - 1"
@@ -30,8 +30,10 @@ def _ids(df, *columns):
 
 
 def flagged_series(spark, sf):
-    rows = normalize.by_percentile(_ev(spark, sf), TYPE)
-    rows = over_series(rows, TYPE, lambda r, w: _with_stats(r, w, (5, 25)), before=25)
+    rows = _ev(spark, sf)
+    stats = series_stats(rows, TYPE.series)  # counted once, used by both steps
+    rows = normalize.by_percentile(rows, TYPE, stats=stats)
+    rows = over_series(rows, TYPE, lambda r, w: _with_stats(r, w, (5, 25)), before=25, stats=stats)
     return rounded(
         rows.groupBy("event_type").agg(
             F.count(F.lit(1)).alias("n"),

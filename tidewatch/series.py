@@ -246,18 +246,14 @@ def fill_forward(
     block_rows = block_rows or BLOCK_ROWS
     stats = stats or series_stats(df, spec.series)
 
-    def frame(w: WindowSpec) -> WindowSpec:
-        if backward:
-            return w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def nearest(c: Column, w: WindowSpec) -> Column:
-        f = F.first(c, ignorenulls=True) if backward else F.last(c, ignorenulls=True)
-        return f.over(frame(w))
+    def nearest(c: Column, keys: Sequence[str], order: Sequence[str]) -> Column:
+        # backward runs in descending order: a frame that only grows costs one step per row
+        by = [F.desc(o) if backward else F.asc(o) for o in order]
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*by)
+        return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
     if stats.max_rows <= block_rows:
-        w = spec.window() if spec.series else Window.partitionBy(F.lit(0)).orderBy(*spec.order)
-        return df.select("*", *[nearest(c, w).alias(n) for n, c in columns.items()])
+        return df.select("*", *[nearest(c, spec.series, spec.order).alias(n) for n, c in columns.items()])
     keys = list(spec.series)
     had_pos = POS in df.columns
     rows = df if had_pos else with_positions(df, spec, block_rows, stats)
@@ -267,15 +263,10 @@ def fill_forward(
     edge = rows.groupBy(*keys, "_fblk").agg(
         *[pick(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(POS))).alias(f"_e_{n}") for n in columns]
     )
-    bw = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_fblk")
-    if backward:
-        bw = bw.rowsBetween(1, Window.unboundedFollowing)
-    else:
-        bw = bw.rowsBetween(Window.unboundedPreceding, -1)
-    side = F.first if backward else F.last
-    carry = edge.select(*keys, "_fblk", *[side(f"_e_{n}", ignorenulls=True).over(bw).alias(f"_k_{n}") for n in columns])
-    w = Window.partitionBy(*keys, "_fblk").orderBy(POS)
-    out = rows.select("*", *[nearest(F.col(f"_v_{n}"), w).alias(n) for n in columns])
+    by = F.desc("_fblk") if backward else F.asc("_fblk")
+    bw = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    carry = edge.select(*keys, "_fblk", *[F.last(f"_e_{n}", ignorenulls=True).over(bw).alias(f"_k_{n}") for n in columns])
+    out = rows.select("*", *[nearest(F.col(f"_v_{n}"), [*keys, "_fblk"], [POS]).alias(n) for n in columns])
     out = join_keys(out, carry, [*keys, "_fblk"], "left")
     for n in columns:
         out = out.withColumn(n, F.coalesce(n, f"_k_{n}"))
