@@ -62,16 +62,23 @@ SELECT *, CASE WHEN score > 0.6 THEN 1 ELSE 0 END AS predicted FROM (
 
 
 def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Doubles rounded for comparison; other columns as they are."""
+    """Doubles rounded for comparison; other columns as they are.
+
+    ``rint`` of the scaled value stays in generated code (``round`` on doubles builds decimals);
+    adding 0 turns a negative zero into zero.
+    """
+    scale = 10.0**digits
     out: list[Column] = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        out.append(F.round(c, digits).alias(f.name) if f.dataType.simpleString() == "double" and f.name not in keep else c)
+        if f.dataType.simpleString() == "double" and f.name not in keep:
+            c = (F.rint(c * scale) / scale + F.lit(0.0)).alias(f.name)
+        out.append(c)
     return df.select(*out)
 
 
 def rounded_sql(columns: list[str], digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+    return ", ".join(f"round_even({c}, {digits}) AS {c}" for c in columns)
 
 
 def frame_sql(n: int, part: str = "event_type") -> str:

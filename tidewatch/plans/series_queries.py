@@ -129,7 +129,7 @@ def lag_ratios(spark, sf):
 
 
 LAG_RATIO_SQL = (
-    "SELECT event_id, " + ", ".join(f"round({ratio_sql(f'l{i}', 'l1')}, 6) AS lag{i}_ratio" for i in fr.RATIO_LAGS)
+    "SELECT event_id, " + ", ".join(f"round_even({ratio_sql(f'l{i}', 'l1')}, 6) AS lag{i}_ratio" for i in fr.RATIO_LAGS)
     + " FROM (SELECT event_id, "
     + ", ".join(f"coalesce(lag(value, {i}) OVER {order_sql('user_id')}, 0) AS l{i}" for i in fr.LAGS) + " FROM events)"
 )
