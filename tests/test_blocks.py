@@ -222,3 +222,21 @@ def test_threshold_sweep(spark, pdf, block):
                 tp, fp, fn = tp + (a & y[i]), fp + (a & (1 - y[i])), fn + ((1 - a) & y[i])
         assert np.isclose(got.loc[cut, "precision"], tp / (tp + fp) if tp + fp else 0)
         assert np.isclose(got.loc[cut, "recall"], tp / (tp + fn) if tp + fn else 0)
+
+
+@pytest.mark.parametrize("block", HOT)
+def test_whole_table_as_one_series(spark, pdf, block):
+    from tidewatch.operators import features, normalize
+
+    spec = SeriesSpec((), ("i",))
+    rows = rows_of(spark, pdf)
+    got = by_id(features.smooth(rows, spec, 1.0, "smooth", block_rows=block))
+    v = pdf["value"].to_numpy(float)
+    k = np.exp(-0.5 * np.arange(-4, 5) ** 2.0)
+    want = np.convolve(np.r_[v[3::-1], v, v[:-5:-1]], k / k.sum(), "valid")
+    assert np.allclose(got["smooth"], want)
+    scaled = by_id(normalize.by_percentile(rows, spec, 90))["value"]
+    assert np.allclose(scaled, v / np.percentile(v, 90))
+    parts = by_id(seasonal.decompose(rows, spec, 5, block_rows=block))
+    trend = np.r_[[np.nan] * 2, np.convolve(v, np.ones(5) / 5, "valid"), [np.nan] * 2]
+    assert np.allclose(parts["trend"].to_numpy(float), trend, equal_nan=True)

@@ -85,7 +85,12 @@ def small(dim: DataFrame, n_rows: int) -> DataFrame:
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe equi join on at least one key; the right side's key columns are dropped."""
+    """Null-safe equi join; the right side's key columns are dropped.
+
+    Without a key the right side is the summary of the whole table: exactly one row.
+    """
+    if not keys:
+        return left.join(F.broadcast(right), F.lit(True), how)
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
