@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.plans import data_queries, evaluation_queries, metric_queries, model_queries, series_queries
+from tidewatch.plans import data_queries, evaluation_queries, io_queries, metric_queries, model_queries, series_queries
 from tidewatch.plans.roles import Query
 
 CATALOG: list[Query] = [
-    *series_queries.QUERIES, *metric_queries.QUERIES, *evaluation_queries.QUERIES, *data_queries.QUERIES, *model_queries.QUERIES,
+    *series_queries.QUERIES, *metric_queries.QUERIES, *evaluation_queries.QUERIES, *data_queries.QUERIES, *io_queries.QUERIES, *model_queries.QUERIES,
 ]
 
 

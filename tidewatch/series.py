@@ -150,7 +150,8 @@ def with_ordered_cuts(
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).drop("_n")
     long_rows = join_keys(df.select(*keys, lead_value.alias("_lead")), small(sizes, n_long), keys, "inner")
     cuts = durable(long_rows.groupBy(*keys).agg(quantiles.alias("_cuts")))
-    joined = join_keys(df, small(cuts, n_long), keys, "left")
+    # a cut table row holds n_cuts numbers: count cells, not rows
+    joined = join_keys(df, small(cuts, max(n_long, n_long * n_cuts // 8)), keys, "left")
     return joined.withColumn(out, F.coalesce(cut_index(lead_value, F.col("_cuts"), n_cuts), F.lit(0))).drop("_cuts")
 
 
