@@ -99,7 +99,7 @@ def test_long_sequences_do_not_underflow(model):
     assert all(np.isfinite(x).all() for x in lattice.counts())
 
 
-@pytest.mark.parametrize("batch_bytes", [24_000_000, 4_000])
+@pytest.mark.parametrize("batch_bytes", [8_000_000, 4_000])
 def test_scores(documents, batch_bytes):
     data = rows()
     small = {"states": 3, "rounds": 2, "n_own": 6, "n_endings": 8}

@@ -33,7 +33,7 @@ OWN = 768
 ENDINGS = 512
 ROUNDS = 3
 #: Text that one scoring batch holds.
-BATCH_BYTES = 24_000_000
+BATCH_BYTES = 8_000_000
 #: Tokens whose forward and backward values are held at once.
 HELD_TOKENS = 250_000
 #: Steps between two scalings of the forward and backward values.
@@ -240,17 +240,26 @@ def batch_words(rows: DataFrame) -> DataFrame:
     """(word, batch, n): each word of each batch, with its training tokens there."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[tuple[pa.Array, np.ndarray]]] = {}
         for batch in batches:
             for piece, tokens in tokenized(batch):
-                where = np.repeat(piece.column("batch").to_numpy(), np.diff(tokens.starts))
-                trains = np.repeat(~piece.column("held_out").to_numpy(zero_copy_only=False), np.diff(tokens.starts))
-                key = where.astype(np.int64) * len(tokens.words) + tokens.codes
+                sizes, size = np.diff(tokens.starts), len(tokens.words)
+                key = np.repeat(piece.column("batch").to_numpy().astype(np.int64) * size, sizes) + tokens.codes
+                trains = np.repeat(~piece.column("held_out").to_numpy(zero_copy_only=False), sizes)
                 pairs, at = np.unique(key, return_inverse=True)
-                n = np.bincount(at, trains, len(pairs)).astype(np.int64)
-                words = tokens.words.take(pa.array(pairs % len(tokens.words))).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([words, pa.array(pairs // len(tokens.words), pa.int32()), pa.array(n)], ["word", "batch", "n"])
+                n = np.bincount(at, trains, len(pairs))
+                cuts = np.flatnonzero(np.append(True, pairs[1:] // size != pairs[:-1] // size)) if len(pairs) else []
+                for lo, hi in zip(cuts, [*cuts[1:], len(pairs)], strict=True):
+                    found.setdefault(int(pairs[lo] // size), []).append((tokens.words.take(pa.array(pairs[lo:hi] % size)), n[lo:hi]))
+        for where, parts in found.items():
+            coded = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy(), np.concatenate([n for _, n in parts]), len(coded.dictionary)).astype(np.int64)
+            for lo in range(0, len(n), 50_000):
+                some = slice(lo, lo + 50_000)
+                yield pa.RecordBatch.from_arrays([coded.dictionary[some].cast(pa.binary()), pa.array(np.full(len(n[some]), where, np.int32)), pa.array(n[some])], ["word", "batch", "n"])
 
-    return rows.select("text", "batch", "held_out").mapInArrow(count, "word binary, batch int, n long")
+    # texts of a batch come to one task, so that each of its words is one row
+    return rows.select("text", "batch", "held_out").repartition("batch").mapInArrow(count, "word binary, batch int, n long")
 
 
 def fit(rows: DataFrame, counts: DataFrame, states: int = STATES, rounds: int = ROUNDS, n_own: int = OWN, n_endings: int = ENDINGS) -> Fitted:
@@ -296,7 +305,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     counts = placed.where("r = 1 AND c > 0").select("word", "c")
     fitted = fit(rows.where(~F.col("held_out")).select("text"), counts, **settings)
     # a word that came in one part is counted by the batch itself
-    sent = placed.where("parts > 1").select("word", "batch", "c").distinct()
+    sent = placed.where("parts > 1").select("word", "batch", "c")
     return scored(rows, sent, fitted, kind).withColumnRenamed("id", id_col)
 
 

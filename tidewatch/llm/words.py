@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from tidewatch.llm.common import runs_of_text
 
 #: Text that is cut into words at once.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 4_000_000
 
 
 @dataclass
