@@ -46,7 +46,7 @@ def test_long_texts_in_slices(documents, monkeypatch):
     passage = "".join(rng.choice("abcdefghij ") for _ in range(400))
     rows = [(i, "".join(rng.choice("abcdefghij ") for _ in range(900)) + passage + "".join(rng.choice("xyz") for _ in range(900))) for i in range(4)]
     keyed = [repeats.fragments_of([t.encode()], 100, 32) for _, t in rows]
-    covered = [sorted(p for a, n in zip(f[2], f[3]) for p in range(a, a + n)) for f in keyed]
+    covered = [sorted(p for a, n in zip(f[3], f[4]) for p in range(a, a + n)) for f in keyed]
     assert all(set(c) == set(range(len(t) - 99)) for c, (_, t) in zip(covered, rows))
     out = repeats.remove_repeats(documents(rows)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute(rows, 100)

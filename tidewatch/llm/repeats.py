@@ -4,7 +4,9 @@ A window is a string of ``LENGTH`` bytes.  Its anchor is the position of its sma
 hash, so equal windows have equal anchors; consecutive windows with one anchor form a fragment of at
 most 2 * LENGTH bytes.  Fragments whose anchor hash occurs once hold no repeat and are dropped by
 counting; the others are gathered by hash, each group in one task (groups of more than ``GROUP``
-fragments are dealt to several, see below).
+fragments are dealt to several, see below).  Of fragments with equal content (64-bit hashes of anchor
+and content) all but the first repeat it from end to end and are spans to remove; only the first of
+each content go on, and only where a group has several contents, with their bytes.
 
 There the suffixes of the fragments form an enhanced suffix array: sorted by their first LENGTH
 bytes (equality by hash, checked on the bytes) and, inside a class of equal ones, by what follows.
@@ -59,20 +61,21 @@ def rolling(data: np.ndarray, sizes: list[int], which: int = 0) -> dict[int, np.
         n *= 2
 
 
-def hash_at(data: np.ndarray, at: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """Hash of the ``length`` bytes from each position of ``at``."""
-    sizes = [1 << i for i in range(length.bit_length()) if length >> i & 1]
-    parts = rolling(data, sizes, which)
+def binary_sizes(length: int) -> list[int]:
+    return [1 << i for i in range(length.bit_length()) if length >> i & 1]
+
+
+def hash_at(parts: dict[int, np.ndarray], at: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    """Hash of the ``length`` bytes from each position of ``at``, from the hashes of powers of two."""
     out, offset = np.zeros(len(at), dtype=np.uint64), 0
-    for n in reversed(sizes):
+    for n in reversed(binary_sizes(length)):
         out = out * _power(_FACTORS[which], n) + parts[n][at + offset]
         offset += n
     return out
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of ``data``: the position of its anchor, and the hash of every gram."""
-    h = rolling(data, [gram])[gram]
+def anchors(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window: the position of its anchor, and the mixed hash of every gram."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(29)
     low = ((h >> SLICE_BITS) << SLICE_BITS) | np.arange(len(h), dtype=np.uint64)
@@ -86,7 +89,8 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
 
 
 def fragments_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, key, lo, count) of the fragments of all texts: ``count`` windows from ``lo`` on."""
+    """(text, key, content, lo, count) of the fragments of all texts: ``count`` windows from ``lo``;
+    the first and the last of them cover the fragment, so their hashes make the content's."""
     out: list[tuple] = []
     held: list[tuple[int, int, bytes]] = []
 
@@ -96,7 +100,8 @@ def fragments_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray
         data = np.frombuffer(b"".join(d for _, _, d in held), dtype=np.uint8)
         sizes = np.array([len(d) for _, _, d in held])
         begin = np.cumsum(sizes) - sizes
-        anchor, h = anchors(data, length, gram)
+        parts = rolling(data, [*binary_sizes(length), gram])
+        anchor, h = anchors(parts[gram], length, gram)
         owner = np.repeat(np.arange(len(held)), sizes)[: len(anchor)]
         valid = np.arange(len(anchor)) + length <= (begin + sizes)[owner]
         at = np.flatnonzero(valid)
@@ -105,7 +110,8 @@ def fragments_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray
             first = np.flatnonzero(opens)
             count = np.diff(np.append(first, len(at)))
             start = at[first]
-            out.append((np.array([t for t, _, _ in held])[owner[start]], h[anchor[start]].view(np.int64), start - begin[owner[start]] + np.array([o for _, o, _ in held])[owner[start]], count))
+            content = hash_at(parts, start, length) * np.uint64(_FACTORS[1]) + hash_at(parts, start + count - 1, length) + count.astype(np.uint64)
+            out.append((np.array([t for t, _, _ in held])[owner[start]], h[anchor[start]].view(np.int64), content.view(np.int64), start - begin[owner[start]] + np.array([o for _, o, _ in held])[owner[start]], count))
         held.clear()
 
     size = 0
@@ -121,27 +127,33 @@ def fragments_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray
             size += len(piece)
     flush()
     if not out:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def repeated_fragments(rows: DataFrame, length: int, gram: int, group: int) -> DataFrame:
-    """(doc, h, found): per document the fragments (lo, key, count, parts) of repeated anchor hashes."""
+    """(doc, h, lo, count, key, part, dealt, first, several): the fragments of repeated anchor hashes.
+    ``first`` of their content in their part of the group; ``several``: the group needs its bytes."""
 
     def tell(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, key, lo, count = fragments_of(batch.column("text").cast(pa.binary()).to_pylist(), length, gram)
+        text, key, content, lo, count = fragments_of(batch.column("text").cast(pa.binary()).to_pylist(), length, gram)
         at = pa.array(text)
-        return pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("h").take(at), pa.array(key), pa.array(lo, pa.int32()), pa.array(count, pa.int32())], ["doc", "h", "key", "lo", "count"])
+        columns = [batch.column("doc").take(at), batch.column("h").take(at), pa.array(key), pa.array(content), pa.array(lo, pa.int32()), pa.array(count, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "h", "key", "content", "lo", "count"])
 
     def keys_only(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, key, _, _ = fragments_of(batch.column("text").cast(pa.binary()).to_pylist(), length, gram)
-        values, n = np.unique(key, return_counts=True)
+        values, n = np.unique(fragments_of(batch.column("text").cast(pa.binary()).to_pylist(), length, gram)[1], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n, pa.int32())], ["key", "n"])
 
     counted = over_batches(rows.select("text"), keys_only, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
     several = counted.where("n > 1").select("key", F.ceil(F.col("n") / group).cast("int").alias("parts"))
-    found = over_batches(rows, tell, "doc long, h long, key long, lo int, count int").join(several, "key")
-    return found.groupBy("doc", "h").agg(F.collect_set(F.struct("lo", "key", "count", "parts")).alias("found"))
+    found = over_batches(rows, tell, "doc long, h long, key long, content long, lo int, count int").join(several, "key")
+    dealt = found.withColumn("part", F.pmod(F.xxhash64("doc", "h"), F.col("parts")).cast("int")).repartition("key", "part")
+    here = Window.partitionBy("key", "part")
+    first = F.rank().over(Window.partitionBy("key", "part", "content").orderBy("doc", "h", "lo")) == 1
+    kinds = F.min("content").over(here) != F.max("content").over(here)
+    marked = dealt.withColumn("first", first).withColumn("kinds", kinds).withColumn("dealt", F.col("parts") > 1)
+    return stored(marked.select("doc", "h", "lo", "count", "key", "part", "dealt", "first", (F.col("kinds") | F.col("dealt")).alias("several")), "fragments")
 
 
 class SuffixArray:
@@ -163,7 +175,7 @@ class SuffixArray:
         #: Order of the occurrences: by document, then position.
         self.place = place[self.fragment] + inner
         self.tail = count[self.fragment] - 1 - inner
-        h = hash_at(self.flat, self.at, length) ^ (group[self.fragment].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        h = hash_at(rolling(self.flat, binary_sizes(length)), self.at, length) ^ (group[self.fragment].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         order = np.argsort(h, kind="stable")
         opens = np.append(True, h[order[1:]] != h[order[:-1]])
         self.of_class = np.empty(len(h), dtype=np.int64)
@@ -290,44 +302,46 @@ def spans(fragments: DataFrame, length: int) -> DataFrame:
             # of each class the first occurrence
             order = open_[np.lexsort((s.place[open_], s.of_class[open_]))]
             first = order[np.append(True, s.of_class[order[1:]] != s.of_class[order[:-1]])]
-            w = [hash_at(s.flat, s.at[first], length, i).view(np.int64) for i in (0, 1)]
+            w = [hash_at(rolling(s.flat, binary_sizes(length), i), s.at[first], length, i).view(np.int64) for i in (0, 1)]
             start = lo[s.fragment[first]] + s.inner[first]
             more = [doc[s.fragment[first]], h[s.fragment[first]], start, np.full(len(first), -1), *w]
             out = [np.concatenate(x) for x in zip(out, more, strict=True)]
         return pa.table({n: x.astype(np.int64) for n, x in zip(["doc", "h", "start", "stop", "w1", "w2"], out, strict=True)})
 
-    found = stored(over_groups(fragments, ["key", "part"], find, schema, together=5_000_000), "spans")
+    found = over_groups(fragments, ["key", "part"], find, schema, together=5_000_000)
     w = Window.partitionBy("w1", "w2")
     first = found.where("stop < 0").withColumn("_f", F.min(F.struct("doc", "h", "start")).over(w))
     late = first.where(F.struct("doc", "h", "start") != F.col("_f")).select("doc", "h", "start", (F.col("start") + length).alias("stop"))
     return found.where("stop >= 0").select("doc", "h", "start", "stop").unionAll(late)
 
 
-def fragments_with_bytes(rows: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """(doc, h, key, part, lo, count, data, dealt), a row per fragment of a repeated anchor."""
-    joined = rows.join(found.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "found"), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")))
+def fragments_with_bytes(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(doc, h, key, part, lo, count, data, dealt): the ``wanted`` fragments with their bytes."""
+    lists = wanted.groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("lo", "key", "count", "part", "dealt")).alias("found"))
+    joined = rows.join(lists, (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 yield from cut_out(batch.slice(a, 500), length).to_batches()
 
-    return joined.select("doc", "h", "text", "found").mapInArrow(cut, "doc long, h long, key long, part int, lo int, count int, data binary, dealt boolean")
+    # all columns of ``rows``, so that the exchange of the texts is the one the last join uses
+    return joined.select(*rows.columns, "found").mapInArrow(cut, "doc long, h long, key long, part int, lo int, count int, data binary, dealt boolean")
 
 
 def cut_out(batch: pa.RecordBatch, length: int) -> pa.Table:
     """The fragments of a batch of documents with their bytes and the byte in front of them."""
     texts = batch.column("text").cast(pa.binary()).to_pylist()
     owner, key, lo, count, part, data, dealt = [], [], [], [], [], [], []
-    for i, (text, found, h) in enumerate(zip(texts, batch.column("found").to_pylist(), batch.column("h").to_pylist(), strict=True)):
+    for i, (text, found) in enumerate(zip(texts, batch.column("found").to_pylist(), strict=True)):
         for f in found:
             a = f["lo"]
             owner.append(i)
             key.append(f["key"])
             lo.append(a)
             count.append(f["count"])
-            part.append(h % f["parts"])
-            dealt.append(f["parts"] > 1)
+            part.append(f["part"])
+            dealt.append(f["dealt"])
             data.append((text[a - 1 : a] if a else b"\0") + text[a : a + f["count"] + length - 1])
     at = pa.array(owner, pa.int64())
     return pa.table({
@@ -357,13 +371,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     them loses the same.  A missing text is empty.  Removal may cut a character.
     """
     missing = F.lit(-(2**63))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).select(F.coalesce("id", missing).alias("doc"), F.xxhash64("text").alias("h"), "text", F.col("id").isNull().alias("nameless"))
-    # one exchange of the texts serves both joins
-    placed = rows.repartition("doc", "h")
-    found = repeated_fragments(rows.select("doc", "h", "text"), length, gram, group)
-    fragments = fragments_with_bytes(placed, found, length)
-    lists = spans(fragments, length).groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("start", "stop")).alias("found"))
-    joined = placed.join(lists, (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).select(F.coalesce("id", missing).alias("doc"), "text", F.col("id").isNull().alias("nameless"))
+    shared = not rows.groupBy("doc").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("h", F.xxhash64("text") if shared else F.lit(0).cast("long"))
+    fragments = repeated_fragments(rows.select("doc", "h", "text"), length, gram, group)
+    stop = F.col("lo") + F.col("count") + (length - 1)
+    copies = fragments.where("NOT first").select("doc", "h", F.col("lo").cast("long").alias("start"), stop.cast("long").alias("stop"))
+    wanted = fragments.where("first AND several").select("doc", "h", "lo", "count", "key", "part", "dealt")
+    found = copies.unionAll(spans(fragments_with_bytes(rows, wanted, length), length))
+    lists = found.groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    joined = rows.join(lists, (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left")
 
     def cut(batch: pa.RecordBatch) -> pa.Table:
         n_bytes, n_removed, n_spans, sha, runs = [], [], [], [], []
