@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +102,12 @@ def bands_of(sketch: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, bands, elements) per row."""
+def digest_of(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def sketched(rows: DataFrame, k: int) -> DataFrame:
+    """(id, n, digest, bands) per row of (id, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         out = []
@@ -111,14 +116,28 @@ def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             for a in range(0, len(sets), 256):
                 some = sets[a : a + 256]
                 bands = bands_of(sketches(some))
-                data = [s.tobytes() for s in some]
-                digest = [hashlib.blake2b(d, digest_size=16).digest() for d in data]
+                digest = [digest_of(s.tobytes()) for s in some]
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int32()))
-                out.append(pa.table([piece.column("id").slice(a, len(some)), pa.array([len(s) for s in some], pa.int64()), pa.array(digest, pa.binary()), flat, pa.array(data, pa.binary())], names=["id", "n", "digest", "bands", "elements"]))
+                out.append(pa.table([piece.column("id").slice(a, len(some)), pa.array([len(s) for s in some], pa.int64()), pa.array(digest, pa.binary()), flat], names=["id", "n", "digest", "bands"]))
+        return pa.concat_tables(out)
+
+    return over_batches(rows, run, "id long, n long, digest binary, bands array<int>")
+
+
+def full_sets(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(rep, elements): the whole shingle sets of ``nodes`` (rep, digest), made again from the texts;
+    only a few documents share a bucket, so sets are neither stored nor moved for all."""
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        out = []
+        for piece, words in in_slices(batch):
+            data = [s.tobytes() for s in shingle_sets(words, k)]
+            own = pa.array([digest_of(d) for d in data], pa.binary())
+            out.append(pa.table([piece.column("id"), own, pa.array(data, pa.binary())], names=["rep", "own", "elements"]).filter(pc.equal(own, piece.column("digest"))))
         return pa.concat_tables(out)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return over_batches(rows, run, "id long, n long, digest binary, bands array<int>, elements binary")
+    mine = rows.join(nodes.select(F.col("rep").alias("id"), "digest"), "id").select("id", "digest", "text")
+    return over_batches(mine, run, "rep long, own binary, elements binary").groupBy("rep").agg(F.first("elements").alias("elements"))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -206,17 +225,17 @@ def spanning(x: np.ndarray, y: np.ndarray, names: np.ndarray) -> list[int]:
     return out
 
 
-def node_links(reps: DataFrame, table: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def node_links(reps: DataFrame, texts: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect every two nodes linked by a chain of verified links.
 
-    ``reps``: (rep, n, bands); ``table`` has the elements of the rows whose id is a rep."""
+    ``reps``: (rep, digest, n, bands); ``texts``: (id, text)."""
     rows = reps.select("rep", F.posexplode("bands").alias("i", "v")).select(
         (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").cast("long") + F.lit(2**31)).alias("bucket"), "rep"
     )
     buckets = rows.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("_m")).where("_m > centre").drop("_m")
     placed = stored(rows.join(buckets, "bucket"), "buckets")
-    sets = table.join(placed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("rep")).agg(F.first("elements").alias("elements"))
-    sets = stored(sets, "sets")
+    shared = reps.select("rep", "digest").join(placed.select("rep").distinct(), "rep", "left_semi")
+    sets = stored(full_sets(texts, shared, k), "sets")
     met = placed.where("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= SHARED)
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("m"), "centre"))).where("r <= 2")
     star = verified(best.select(F.col("centre").alias("a"), F.col("rep").alias("b")), sets, percent)
@@ -277,10 +296,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     but not a text stand for one node where they are the smallest of their sets; a row without an
     id is kept and has no component.
     """
-    table = stored(sketched(docs, k, id_col, text_col), "sketches")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    table = stored(sketched(texts, k), "sketches")
     known = table.where("n > 0 AND id IS NOT NULL")
     reps = stored(known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps")
-    links = stored(node_links(reps.select("rep", "n", "bands"), known.select("id", "elements"), percent, block), "links")
+    links = stored(node_links(reps, texts, k, percent, block), "links")
     found = components(links)
     labels = reps.select(F.col("digest").alias("_digest"), "rep").join(found, F.col("rep") == F.col("node"), "left").select("_digest", F.coalesce("component", "rep").alias("_component"))
     rows = table.select("id", "n", "digest").join(labels, F.col("digest") == F.col("_digest"), "left")
