@@ -175,9 +175,11 @@ def test_autocorrelation_and_decomposition(spark, block):
     v = 5 * np.sin(np.arange(n) * 2 * np.pi / 12) + 0.05 * np.arange(n) + np.random.default_rng(5).normal(0, 0.3, n)
     pdf = pd.DataFrame({"s": "a", "t": range(n), "i": range(n), "value": v})
     rows = rows_of(spark, pdf)
-    found = seasonal.period(rows, SPEC, 40, block_rows=block).first()
+    found = seasonal.period(rows, SPEC, block_rows=block).first()
     d = v - v.mean()
-    r = [(d[: n - k] * d[k:]).sum() / (v.var(ddof=1) * (n - k)) for k in range(1, 41)]
+    r = [(d[: n - k] * d[k:]).sum() / (v.var(ddof=1) * (n - k)) for k in range(1, 72)]
+    acf = seasonal.autocorrelation(rows, SPEC, block_rows=block).toPandas().sort_values("lag")
+    assert acf["lag"].tolist() == list(range(1, 72)) and np.allclose(acf["r"], r)
     k = int(np.abs(r).argmax()) + 1
     assert found["lag"] == k and np.isclose(found["r"], r[k - 1])
     got = by_id(seasonal.decompose(rows, SPEC, 12, block_rows=block))
@@ -187,21 +189,30 @@ def test_autocorrelation_and_decomposition(spark, block):
     phase = np.array([np.nanmean((v - trend)[i::12]) for i in range(12)])
     phase -= phase.mean()
     assert np.allclose(got["residual"].to_numpy(float), v - trend - phase[np.arange(n) % 12], equal_nan=True)
-    flat = by_id(seasonal.remove_seasonality(rows, SPEC, 40, block_rows=block))
-    assert np.nanstd(flat["value"].to_numpy(float)) < 1.0 < v.std()
+    flat = by_id(seasonal.remove_seasonality(rows, SPEC, block_rows=block))
+    if k == 12:
+        assert np.allclose(flat["value"].to_numpy(float), v - trend - phase[np.arange(n) % 12], equal_nan=True)
+    else:
+        assert np.nanstd(flat["value"].to_numpy(float)) < 1.0 < v.std()
 
 
 @pytest.mark.parametrize("block", HOT)
 def test_spectrum(spark, block):
     rows = seasonal.sine(spark, 200, [20.0, 50.0], 2.0).selectExpr("'a' AS s", "ts AS t", "ts AS i", "value")
-    bins = seasonal.strongest_bins(seasonal.spectrum(rows, SPEC, 30, block_rows=block), SPEC, 2)
+    bins = seasonal.strongest_bins(seasonal.spectrum(rows, SPEC, block_rows=block), SPEC, 2)
     assert sorted((r["bin"], r["period"]) for r in bins.collect()) == [(4, 50), (10, 20)]
     rest = seasonal.remove_bins(rows, SPEC, bins, block_rows=block).toPandas()["filtered"]
     assert np.abs(rest).max() < 1e-8
-    best = seasonal.full_spectrum(rows, SPEC, 2).toPandas()
-    assert sorted(best["period"]) == [20, 50]
-    with pytest.raises(ValueError):
-        seasonal.full_spectrum(rows, SPEC, 1, max_rows=100)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 97])
+def test_all_bins_of_any_length(spark, n):
+    v = np.random.default_rng(n).normal(size=n)
+    rows = spark.createDataFrame(pd.DataFrame({"s": "a", "t": range(n), "i": range(n), "value": v}))
+    got = seasonal.spectrum(rows, SPEC).toPandas().sort_values("bin")
+    want = np.fft.rfft(v)[1:]
+    assert got["bin"].tolist() == list(range(1, n // 2 + 1))
+    assert np.allclose(got["re"], want.real) and np.allclose(got["im"], -want.imag)
 
 
 @pytest.mark.parametrize("block", HOT)

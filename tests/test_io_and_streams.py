@@ -55,12 +55,37 @@ def test_matrix_and_labels_line_up_over_splits(spark, tmp_path):
         got = tables.attach_labels(x, y)
         assert got.count() == 2 * n
         assert got.where("row_idx != CAST(col1 AS INT) OR label != IF(row_idx % 7 = 0, 1, 0)").count() == 0
-        with pytest.raises(ValueError):
-            tables.attach_labels(x, y.where("row_idx < 10"))
+        with pytest.raises(Exception, match="do not line up"):
+            tables.attach_labels(x, y.where("row_idx < 10")).select("machine_id").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+def test_machines_of_one_name_in_two_folders(spark, tmp_path):
+    for folder in ("train", "test"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "machine-1.txt").write_text("1,nan\n2,5\n3,6\n")
+    rows = tables.read_matrix(spark, str(tmp_path), ["a", "b"]).collect()
+    assert sorted((r["folder"], r["machine_id"], r["row_idx"], r["a"], r["b"] or 0.0) for r in rows) == [
+        (f, "machine-1", i, i + 1.0, b) for f in ("test", "train") for i, b in enumerate([0.0, 5.0, 6.0])
+    ]
+    assert all(r["b"] is None for r in rows if r["row_idx"] == 0)
+
+
+def test_ridge_solves_the_normal_equations(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 2)) * [1.0, 4.0] + [0.5, 2.0]
+    y = (x[:, 0] + 0.1 * x[:, 1] + rng.normal(size=600) > 1).astype(int)
+    rows = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "is_anomaly": y}))
+    for balance in (None, "weight"):
+        w = np.where(y == 1, (1 - y).sum() / y.sum(), 1.0) if balance else np.ones(len(y))
+        fitted = models.fit("ridge", rows, ["a", "b"], balance, strength=7.0).stages[-1]
+        c = x - (w[:, None] * x).sum(0) / w.sum()
+        s = (2 * y - 1) - (w * (2 * y - 1)).sum() / w.sum()
+        want = np.linalg.solve(c.T @ (w[:, None] * c) + 7.0 * np.eye(2), c.T @ (w * s))
+        assert np.allclose(fitted.coefficients.toArray(), want, rtol=1e-6)
+
+
 def test_sinks(spark, tmp_path):
     pdf = make_series(0, sizes=(20, 10))
     rows = ordered_split(spark.createDataFrame(pdf), SPEC)

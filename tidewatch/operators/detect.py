@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.evaluate import union_flags
@@ -208,7 +208,9 @@ def isolation_forest(
         .orderBy("_h", *ids)
         .limit(total)
     )
-    dealt = drawn.select(F.pmod(F.xxhash64(F.lit(seed + 1), *ids), F.lit(trees)).cast("int").alias("tree"), "x")
+    # bounded by trees x samples rows: numbered in one task and dealt in turn, so that trees are even
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_h", *ids)) - 1
+    dealt = drawn.select((place % trees).cast("int").alias("tree"), "x")
     depth_limit = int(np.ceil(np.log2(max(samples, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -204,8 +205,18 @@ def union_flags(df: DataFrame, columns: Sequence[str], out: str = "predicted") -
 
 
 def deviation_loss(df: DataFrame, actual: str, score: str, margin: float = 5.0, reference: int = 5000, seed: int = 0) -> DataFrame:
-    """Mean deviation loss against a standard normal reference sample of fixed size."""
-    ref = df.sparkSession.range(reference).select(F.randn(seed).alias("z")).agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s")).first()
+    """Mean deviation loss against a standard normal reference sample of fixed size.
+
+    The draws are a formula of (seed, number), so they do not depend on partitions: two uniform
+    values from an md5, turned into a normal one.
+    """
+
+    def uniform(side: str) -> Column:
+        digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), F.lit(side)).cast("binary")), 1, 13)
+        return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / float(2**52)
+
+    z = F.sqrt(-2.0 * F.log(uniform("a"))) * F.cos(2.0 * math.pi * uniform("b"))
+    ref = df.sparkSession.range(reference).select(z.alias("z")).agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s")).first()
     dev = (F.col(score) - F.lit(ref["m"])) / F.lit(ref["s"])
     y = F.col(actual)
     loss = (1 - y) * F.abs(dev) + y * F.greatest(F.lit(margin) - dev, F.lit(0.0))

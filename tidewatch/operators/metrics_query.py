@@ -15,8 +15,7 @@ ENTRY_TAG = "src.entry_point.resource"
 POSITION_TAG = "src.position"
 WINDOW_TAG = "timeWindow"
 STATUS_TAG = "http.status_code_group"
-# Limits of the extract and of the suitability gate.
-EXTRACT_ROWS = 500_000
+# Limits of the suitability gate.
 MIN_ROWS = 10
 RECENT_DAYS = 30
 MAX_PIVOT_VALUES = 10_000
@@ -45,11 +44,11 @@ def recent_apps(df: DataFrame, as_of: Column, days: int = RECENT_DAYS, keys: Seq
     return df.where(F.col("timestamp") > as_of - F.make_dt_interval(F.lit(days))).select(*keys).distinct()
 
 
-def raw_extract(df: DataFrame, match: dict[str, object], rows: int = EXTRACT_ROWS) -> DataFrame:
-    """All events of one key, capped: the cap is the feature (an extract with a row limit)."""
+def raw_extract(df: DataFrame, match: dict[str, object]) -> DataFrame:
+    """All events of one key."""
     for k, v in match.items():
         df = df.where(F.col(k) == F.lit(v))
-    return df.limit(rows)
+    return df
 
 
 def count_matching(df: DataFrame, **equal) -> DataFrame:

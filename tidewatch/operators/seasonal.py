@@ -1,4 +1,4 @@
-"""Periods, seasonal decomposition and spectra of whole series as aggregates and row frames."""
+"""Periods, seasonal decomposition and spectra of whole series as transforms, aggregates and row frames."""
 
 from __future__ import annotations
 
@@ -6,46 +6,31 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidewatch.series import BLOCK_ROWS, POS, TOTAL, SeriesSpec, join_keys, over_series, series_stats, small
+from tidewatch.operators import fourier
+from tidewatch.operators.ordered import running_sums
+from tidewatch.series import POS, TOTAL, SeriesSpec, durable, join_keys, over_series, series_stats, small
 
 
-def autocorrelation(df: DataFrame, spec: SeriesSpec, max_lag: int, **kw) -> DataFrame:
-    """One row per series and lag 1..max_lag (below half the series): the normalised
-    autocorrelation sum((x_t - m)(x_{t+l} - m)) / (var * (n - l))."""
+def autocorrelation(df: DataFrame, spec: SeriesSpec, **kw) -> DataFrame:
+    """One row per series and lag 1 .. ceil(n / 2) - 1: the normalised autocorrelation
+    sum((x_t - m)(x_{t+l} - m)) / (var * (n - l)).  All lags come from one padded transform."""
     v = F.col(spec.value)
     stats = series_stats(df, spec.series)
-    moments = df.groupBy(*spec.series).agg(
-        F.avg(v).alias("_m"), F.var_samp(v).alias("_var"), F.count(F.lit(1)).alias("_n")
-    )
-    rows = join_keys(df, small(moments, stats.n_series), spec.series, "left").withColumn("_x", v - F.col("_m"))
+    moments = df.groupBy(*spec.series).agg(F.avg(v).alias("_mean"), F.var_samp(v).alias("_var"))
+    rows = join_keys(_indexed(df, spec, **kw), small(moments, stats.n_series), spec.series, "left")
+    products = fourier.lagged_products(rows, spec.series, POS, TOTAL, v - F.col("_mean"))
+    near = products.where((F.col("lag") > 0) & (F.col("lag") <= F.ceil(F.col("n") / 2) - 1))
+    long = join_keys(near, small(moments, stats.n_series), spec.series, "left")
+    r = F.try_divide(F.col("_sum"), F.col("_var") * (F.col("n") - F.col("lag")))
+    return long.select(*spec.series, F.col("lag").cast("int").alias("lag"), r.alias("r"))
 
-    def fn(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        x = F.col("_x")
-        products = F.array(*[x * F.lead(x, lag).over(w) for lag in range(1, max_lag + 1)])
-        return rows.withColumn("_p", products)
-
-    rows = over_series(rows, spec, fn, after=max_lag, stats=stats, **kw)
-    sums = rows.groupBy(*spec.series).agg(
-        F.max("_n").alias("_n"), F.max("_var").alias("_var"),
-        *[F.sum(F.get("_p", F.lit(i))).alias(f"_s{i}") for i in range(max_lag)],
-    )
-    long = sums.select(
-        *spec.series, "_n", "_var",
-        F.posexplode(F.array(*[F.col(f"_s{i}") for i in range(max_lag)])).alias("_i", "_s"),
-    )
-    lag = F.col("_i") + 1
-    r = F.try_divide(F.col("_s"), F.col("_var") * (F.col("_n") - lag))
-    return long.where(lag <= F.ceil(F.col("_n") / 2) - 1).select(*spec.series, lag.alias("lag"), r.alias("r"))
 
-
-def period(df: DataFrame, spec: SeriesSpec, max_lag: int, min_lag: int = 1, strength: float = 0.5, **kw) -> DataFrame:
+def period(df: DataFrame, spec: SeriesSpec, min_lag: int = 1, strength: float = 0.5, **kw) -> DataFrame:
     """Strongest |r| per series with its lag; ``period`` only if |r| > strength and lag > min_lag."""
-    acf = autocorrelation(df, spec, max_lag, **kw)
+    acf = autocorrelation(df, spec, **kw)
     best = acf.groupBy(*spec.series).agg(
         F.max_by(F.struct("lag", "r"), F.struct(F.abs("r"), -F.col("lag"))).alias("b")
     )
@@ -79,16 +64,37 @@ def decompose(df: DataFrame, spec: SeriesSpec, p: int, **kw) -> DataFrame:
     return rows.withColumn("residual", v - F.col("trend") - F.col("seasonal")).drop("_phase")
 
 
-def remove_seasonality(df: DataFrame, spec: SeriesSpec, max_lag: int, min_lag: int = 1, **kw) -> DataFrame:
-    """Value becomes the residual where a period is found (per series), else it stays."""
-    periods = period(df, spec, max_lag, min_lag, **kw).select(*spec.series, "period")
-    rows = join_keys(df, small(periods, series_stats(df, spec.series).n_series), spec.series, "left")
-    found = [r["period"] for r in periods.select("period").where("period IS NOT NULL").distinct().collect()]
-    parts = [rows.where(F.col("period").isNull()).drop("period")]
-    for p in sorted(found):  # at most max_lag values
-        part = decompose(rows.where(F.col("period") == p).drop("period"), spec, int(p), **kw)
-        parts.append(part.withColumn(spec.value, F.col("residual")).drop("trend", "seasonal", "residual"))
-    return reduce(DataFrame.unionByName, parts)
+def remove_seasonality(df: DataFrame, spec: SeriesSpec, min_lag: int = 1, **kw) -> DataFrame:
+    """Value becomes the residual of its decomposition where the series has a period, else it stays.
+
+    One pass for all periods: the trend is a difference of running sums, met by position."""
+    stats = series_stats(df, spec.series)
+    periods = period(df, spec, min_lag, **kw).where("period IS NOT NULL").select(*spec.series, F.col("period").cast("long").alias("_p"))
+    rows = join_keys(_indexed(df, spec, **kw), small(periods, stats.n_series), spec.series, "left")
+    still = rows.where(F.col("_p").isNull())
+    rows = durable(rows.where(F.col("_p").isNotNull()))
+    v, half = F.col(spec.value), F.floor(F.col("_p") / 2)
+    sums = running_sums(rows.select(*spec.series, POS, v.alias("_v")), POS, ["_v"], spec.series, **kw).select(*spec.series, POS, F.col("cum__v").alias("_s"))
+
+    def at(frame: DataFrame, offset: Column, name: str) -> DataFrame:
+        """The running sum ``offset`` rows on (0 before the first row, missing behind the last)."""
+        frame = frame.withColumn("_at", F.col(POS) + offset)
+        right = sums.select(*spec.series, F.col(POS).alias("_at"), F.col("_s").alias(name))
+        frame = join_keys(frame, right, [*spec.series, "_at"], "left")
+        return frame.withColumn(name, F.when(F.col("_at") == -1, 0.0).otherwise(F.col(name))).drop("_at")
+
+    # odd: the p values around the row; even: half of each end, which is the mean of two shifted sums
+    even = F.col("_p") % 2 == 0
+    rows = at(at(rows, half, "_a"), -half - 1, "_b")
+    rows = at(at(rows, half - 1, "_c"), -half, "_d")
+    wide, narrow = F.col("_a") - F.col("_b"), F.col("_c") - F.col("_d")
+    trend = F.when(even, (wide + narrow) / (2 * F.col("_p"))).otherwise(wide / F.col("_p"))
+    rows = rows.withColumn("_x", v - trend).withColumn("_phase", F.col(POS) % F.col("_p"))
+    phases = rows.groupBy(*spec.series, "_phase").agg(F.avg("_x").alias("_ph"))
+    centre = phases.groupBy(*spec.series).agg(F.avg("_ph").alias("_ce"))
+    phases = join_keys(phases, small(centre, stats.n_series), spec.series, "inner").select(*spec.series, "_phase", (F.col("_ph") - F.col("_ce")).alias("_season"))
+    rows = join_keys(rows, phases, [*spec.series, "_phase"], "left")
+    return still.select(*df.columns).unionByName(rows.withColumn(spec.value, F.col("_x") - F.col("_season")).select(*df.columns))
 
 
 def _angle(k: Column | int) -> Column:
@@ -98,24 +104,16 @@ def _angle(k: Column | int) -> Column:
     return turns / F.col(TOTAL) * (2 * math.pi)
 
 
-def spectrum(df: DataFrame, spec: SeriesSpec, max_bin: int, **kw) -> DataFrame:
-    """Power of the frequency bins 1..max_bin of each series: one aggregate, any series length.
+def spectrum(df: DataFrame, spec: SeriesSpec, **kw) -> DataFrame:
+    """Power of all positive frequency bins 1 .. n / 2 of each series, any series length.
 
-    period = int(1 / frequency) with frequency = bin / n.
+    re and im are sum(v cos) and sum(v sin); period = int(1 / frequency) with frequency = bin / n.
     """
     rows = _indexed(df, spec, **kw)
-    v = F.col(spec.value)
-    sums = rows.groupBy(*spec.series).agg(
-        F.max(TOTAL).alias("n"),
-        *[F.sum(v * F.cos(_angle(k))).alias(f"_c{k}") for k in range(1, max_bin + 1)],
-        *[F.sum(v * F.sin(_angle(k))).alias(f"_s{k}") for k in range(1, max_bin + 1)],
-    )
-    bins = F.array(*[F.struct(F.lit(k).alias("bin"), F.col(f"_c{k}").alias("re"), F.col(f"_s{k}").alias("im")) for k in range(1, max_bin + 1)])
-    long = sums.select(*spec.series, "n", F.explode(bins).alias("b")).where(F.col("b.bin") <= F.col("n") / 2)
-    return long.select(
-        *spec.series, "n", F.col("b.bin").alias("bin"), F.col("b.re").alias("re"), F.col("b.im").alias("im"),
-        (F.col("b.re") * F.col("b.re") + F.col("b.im") * F.col("b.im")).alias("power"),
-        F.floor(F.col("n") / F.col("b.bin")).alias("period"),
+    bins = fourier.any_length(rows, spec.series, POS, TOTAL, F.col(spec.value)).where((F.col("bin") > 0) & (2 * F.col("bin") <= F.col("n")))
+    return bins.select(
+        *spec.series, "n", F.col("bin").cast("int").alias("bin"), "re", (-F.col("im")).alias("im"),
+        (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"), F.floor(F.col("n") / F.col("bin")).alias("period"),
     )
 
 
@@ -127,12 +125,14 @@ def _indexed(df: DataFrame, spec: SeriesSpec, **kw) -> DataFrame:
 
 
 def strongest_bins(spectra: DataFrame, spec: SeriesSpec, top_k: int) -> DataFrame:
-    """The ``top_k`` bins by power per series (one row per series and rank)."""
-    cells = F.array_sort(F.collect_list(F.struct((-F.col("power")).alias("o"), "bin", "re", "im", "period", "n")))
-    best = spectra.groupBy(*spec.series).agg(F.slice(cells, 1, top_k).alias("b"))
-    return best.select(*spec.series, F.posexplode("b").alias("i", "x")).select(
-        *spec.series, (F.col("i") + 1).alias("rank"), "x.bin", "x.period", (-F.col("x.o")).alias("power"), "x.re", "x.im", "x.n"
-    )
+    """The ``top_k`` bins by power per series (one row per series and rank).
+
+    Bins are ranked in sections of the spectrum first, so that no task sorts a whole one."""
+    section = F.floor(F.col("bin") / 65_536)
+    by = [F.desc("power"), F.asc("bin")]
+    local = spectra.withColumn("_sec", section).withColumn("_r", F.row_number().over(Window.partitionBy(*spec.series, "_sec").orderBy(*by))).where(F.col("_r") <= top_k)
+    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy(*(list(spec.series) or [F.lit(0)])).orderBy(*by)))
+    return ranked.where(F.col("rank") <= top_k).select(*spec.series, "rank", "bin", "period", "power", "re", "im", "n")
 
 
 def remove_bins(df: DataFrame, spec: SeriesSpec, bins: DataFrame, out: str = "filtered", **kw) -> DataFrame:
@@ -150,30 +150,6 @@ def remove_bins(df: DataFrame, spec: SeriesSpec, bins: DataFrame, out: str = "fi
     return rows.withColumn(out, F.col(spec.value) - F.coalesce(total, F.lit(0.0))).drop("_b", POS, TOTAL)
 
 
-def full_spectrum(df: DataFrame, spec: SeriesSpec, top_k: int = 1, max_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All frequency bins by FFT, ``top_k`` per series.  One task per series, so the length is
-    checked first; longer series use ``spectrum``."""
-    stats = series_stats(df, spec.series)
-    if stats.max_rows > max_rows:
-        raise ValueError(f"a series has {stats.max_rows} rows; use spectrum() beyond {max_rows}")
-    keys, order, value = list(spec.series), list(spec.order), spec.value
-
-    def fft(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        n = len(x)
-        power = np.abs(np.fft.rfft(x)) ** 2
-        bins = np.argsort(-power[1:], kind="stable")[:top_k] + 1
-        return pd.DataFrame(
-            {
-                **{k: [pdf[k].iloc[0]] * len(bins) for k in keys},
-                "rank": np.arange(1, len(bins) + 1), "bin": bins, "period": n // bins, "power": power[bins],
-            }
-        )
-
-    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, *order, value).groupBy(*keys).applyInPandas(fft, f"{fields}, rank long, bin long, period long, power double")
-
-
 def sine(spark: SparkSession, samples: int, periods: Sequence[float], amplitude: float = 1.0) -> DataFrame:
     """Test signal: sum of sines with the given periods, one row per sample."""
     t = F.col("id")

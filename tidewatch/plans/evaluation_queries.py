@@ -181,6 +181,13 @@ def union_flags(spark, sf):
     return ev.union_flags(rows, ["a", "b", "predicted"], "any_flag").select("event_id", "any_flag")
 
 
+_DRAW = "(CAST('0x' || substr(md5('0|' || CAST(i AS VARCHAR) || '|{}'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE"
+DEVIATION_SQL = f"""
+WITH z AS (SELECT sqrt(-2.0 * ln({_DRAW.format('a')})) * cos(2.0 * pi() * ({_DRAW.format('b')})) AS z FROM range(5000) t(i)),
+r AS (SELECT avg(z) AS m, stddev_pop(z) AS s FROM z),
+d AS (SELECT is_anomaly AS y, (score - m) / s AS dev FROM ({LABELLED_SQL}), r)
+SELECT round_even(avg((1 - y) * abs(dev) + y * greatest(5.0 - dev, 0.0)), 6) AS loss FROM d"""
+
 QUERIES = [
     Query("confusion_matrix", lambda s, d: ev.confusion(labelled(s, d), "is_anomaly", "predicted"), f"SELECT tn, fp, fn, tp FROM ({scores_sql(LABELLED_SQL, 'is_anomaly', 'predicted')})"),
     Query("confusion_crosstab", crosstab, CROSSTAB_SQL),
@@ -206,5 +213,5 @@ QUERIES = [
     Query("majority_label", majority, f"SELECT user_id, CAST(ts AS DATE) AS day, CASE WHEN sum(is_anomaly) >= 2 THEN 1 ELSE 0 END AS label FROM ({LABELLED_SQL}) GROUP BY ALL"),
     Query("median_vote", median_vote, f"SELECT event_id, round_even(list_median([score, predicted::DOUBLE, k / 100.0::DOUBLE, is_anomaly::DOUBLE]), 0) AS ensemble FROM ({LABELLED_SQL})"),
     Query("union_of_flags", union_flags, f"SELECT event_id, greatest(CASE WHEN value > 150 THEN 1 ELSE 0 END, CASE WHEN k > 95 THEN 1 ELSE 0 END, predicted) AS any_flag FROM ({LABELLED_SQL})"),
-    Query("deviation_loss", lambda s, d: rounded(ev.deviation_loss(labelled(s, d), "is_anomaly", "score"))),
+    Query("deviation_loss", lambda s, d: rounded(ev.deviation_loss(labelled(s, d), "is_anomaly", "score")), DEVIATION_SQL),
 ]

@@ -282,26 +282,19 @@ FROM (SELECT *, lag(smooth) OVER (PARTITION BY event_type ORDER BY pos) AS befor
              lead(smooth) OVER (PARTITION BY event_type ORDER BY pos) AS after FROM ({smooth_sql(10.0)}))"""
 
 
-ACF_LAGS = 30
-
-
 def autocorrelation(spark, sf):
-    return rounded(seasonal.autocorrelation(_ev(spark, sf), TYPE, ACF_LAGS))
+    return rounded(seasonal.autocorrelation(_ev(spark, sf), TYPE))
 
 
 ACF_SQL = f"""
-SELECT a.event_type, CAST(l.lag AS INTEGER) AS lag,
-       round(sum((a.value - a.m) * (b.value - b.m)) / (any_value(a.v) * (any_value(a.n) - l.lag)), 6) AS r
-FROM (SELECT event_type, value, {POS_SQL} AS pos, avg(value) OVER (PARTITION BY event_type) AS m,
-             var_samp(value) OVER (PARTITION BY event_type) AS v, count(*) OVER (PARTITION BY event_type) AS n FROM ({EV})) a
-CROSS JOIN range(1, {ACF_LAGS} + 1) l(lag)
-JOIN (SELECT event_type, value, {POS_SQL} AS pos, avg(value) OVER (PARTITION BY event_type) AS m FROM ({EV})) b
-  ON b.event_type = a.event_type AND b.pos = a.pos + l.lag
-GROUP BY a.event_type, l.lag"""
+SELECT event_type, CAST(l.lag AS INTEGER) AS lag, round_even(list_inner_product(x[1:n - l.lag], x[l.lag + 1:n]) / (v * (n - l.lag)), 6) AS r
+FROM (SELECT event_type, list(value - m ORDER BY ts, event_id) AS x, any_value(v) AS v, count(*) AS n FROM (
+        SELECT *, avg(value) OVER (PARTITION BY event_type) AS m, var_samp(value) OVER (PARTITION BY event_type) AS v FROM ({EV})) GROUP BY event_type) s
+JOIN (SELECT unnest(range(1, (SELECT count(*) FROM events) + 1)) AS lag) l ON l.lag <= CAST(ceil(n / 2.0) AS BIGINT) - 1"""
 
 
 def period(spark, sf):
-    return rounded(seasonal.period(_ev(spark, sf), TYPE, ACF_LAGS).select("event_type", "lag", "r", F.col("period").isNotNull().alias("found")))
+    return rounded(seasonal.period(_ev(spark, sf), TYPE).select("event_type", "lag", "r", F.col("period").isNotNull().alias("found")))
 
 
 PERIOD_SQL = f"""
@@ -354,18 +347,19 @@ FROM t JOIN s USING (event_type, phase)"""
 
 
 def deseasoned(spark, sf):
-    return _ids(seasonal.remove_seasonality(_ev(spark, sf), TYPE, ACF_LAGS), "value")
+    return _ids(seasonal.remove_seasonality(_ev(spark, sf), TYPE), "value")
 
 
 def spectrum(spark, sf):
-    rows = seasonal.strongest_bins(seasonal.spectrum(_ev(spark, sf), TYPE, 40), TYPE, 3)
+    rows = seasonal.strongest_bins(seasonal.spectrum(_ev(spark, sf), TYPE), TYPE, 3)
     return rows.select("event_type", "rank", "bin", "period", F.round("power", 2).alias("power"))
 
 
 SPECTRUM = f"""
 SELECT event_type, CAST(k AS INTEGER) AS bin, any_value(n) // k AS period, any_value(n) AS n,
        sum(value * cos(2 * pi() * ((k * pos) % n) / n)) AS re, sum(value * sin(2 * pi() * ((k * pos) % n) / n)) AS im
-FROM (SELECT event_type, value, {POS_SQL} AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM ({EV})), range(1, 41) b(k)
+FROM (SELECT event_type, value, {POS_SQL} AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM ({EV}))
+JOIN (SELECT unnest(range(1, (SELECT count(*) FROM events) + 1)) AS k) b ON 2 * k <= n
 GROUP BY event_type, k"""
 SPECTRUM_SQL = f"""
 SELECT event_type, CAST(rank AS INTEGER) AS rank, bin, period, round(re * re + im * im, 2) AS power
@@ -374,7 +368,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY re * re + im
 
 def bins_removed(spark, sf):
     rows = _ev(spark, sf)
-    bins = seasonal.strongest_bins(seasonal.spectrum(rows, TYPE, 40), TYPE, 1)
+    bins = seasonal.strongest_bins(seasonal.spectrum(rows, TYPE), TYPE, 1)
     return _ids(seasonal.remove_bins(rows, TYPE, bins), "filtered")
 
 
@@ -386,8 +380,8 @@ JOIN (SELECT event_type, arg_max(bin, re * re + im * im) AS bin, arg_max(re, re
 
 
 def full_spectrum(spark, sf):
-    rows = seasonal.full_spectrum(_ev(spark, sf), USER, 2)
-    return rounded(rows, 1)
+    rows = seasonal.strongest_bins(seasonal.spectrum(_ev(spark, sf), USER), USER, 2)
+    return rows.select("user_id", F.col("rank").cast("long").alias("rank"), F.col("bin").cast("long").alias("bin"), "period", F.round("power", 1).alias("power"))
 
 
 FULL_SPECTRUM_SQL = f"""
@@ -395,7 +389,7 @@ SELECT user_id, rank, bin, n // bin AS period, round(power, 1) AS power FROM (
   SELECT user_id, k AS bin, any_value(n) AS n, sum(value * cos(2 * pi() * ((k * pos) % n) / n)) ** 2 + sum(value * sin(2 * pi() * ((k * pos) % n) / n)) ** 2 AS power,
          row_number() OVER (PARTITION BY user_id ORDER BY sum(value * cos(2 * pi() * ((k * pos) % n) / n)) ** 2 + sum(value * sin(2 * pi() * ((k * pos) % n) / n)) ** 2 DESC) AS rank
   FROM (SELECT user_id, value, row_number() OVER {order_sql('user_id')} - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM ({EV}))
-  JOIN (SELECT unnest(range(1, 5000)) AS k) ON k <= n // 2
+  JOIN (SELECT unnest(range(1, (SELECT count(*) FROM events) + 1)) AS k) ON k <= n // 2
   GROUP BY user_id, k) WHERE rank <= 2"""
 
 
