@@ -6,11 +6,11 @@ import pytest
 from helpers import SPEC, by_id, make_series, rows_of
 from pyspark.sql import functions as F
 
-from tidewatch import SeriesSpec, with_positions
-from tidewatch.operators import ordered, resample, seasonal, split, tolerance
+from tidewatch import SeriesSpec, series, with_positions
+from tidewatch.operators import encode, ordered, resample, seasonal, split, tolerance
 from tidewatch.operators.embedding import history_windows, matrix_windows
 from tidewatch.operators.quantiles import flag_above, quantiles
-from tidewatch.series import fill_forward
+from tidewatch.series import fill_forward, series_stats, with_ordered_cuts
 
 HOT = [None, 23]
 
@@ -39,6 +39,23 @@ def test_positions_with_equal_order_keys(spark):
     assert got["_pos"].tolist() == list(range(100))
 
 
+def test_cuts_stay_near_the_block_size_when_times_are_equal(spark):
+    pdf = pd.DataFrame({"s": "a", "t": [5] * 1500 + list(range(10, 510)), "i": range(2000), "value": 1.0})
+    rows = rows_of(spark, pdf)
+    cut = with_ordered_cuts(rows, ["s"], SPEC.order, series_stats(rows, ["s"]), 100, "cut")
+    sizes = [r["count"] for r in cut.groupBy("cut").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 200
+
+
+def test_base_n_codes_of_text_beyond_one_block(spark, monkeypatch):
+    monkeypatch.setattr(series, "BLOCK_ROWS", 50)
+    names = [f"c{i:03d}" for i in range(300)]
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "c string, i int")
+    got = by_id(encode.base_n_encode(rows, rows, "c", 2))
+    digits = [c for c in got.columns if c.startswith("c_")]
+    assert [int("".join(map(str, r)), 2) for r in got[digits].to_numpy().tolist()] == list(range(1, 301))
+
+
 def test_null_series_key_is_a_series(spark):
     pdf = make_series(6, sizes=(40, 20))
     pdf.loc[pdf["s"] == "s0", "s"] = None

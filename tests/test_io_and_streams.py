@@ -148,6 +148,31 @@ def test_tumbling_means_round_to_the_nearest_step(spark, tmp_path):
     assert got == {0: 2.0, 10: 6.0, 20: 9.0}
 
 
+@pytest.mark.parametrize("files", [1, 1000])
+def test_streams_keep_late_rows_and_last_windows(spark, tmp_path, files):
+    src = tmp_path / "in"
+    for at, v in [("05:00", 1.0), ("03:00", 2.0), ("01:00", 3.0), ("03:00", 4.0)]:  # the times run backwards
+        spark.createDataFrame([("a", f"2024-01-01 {at}:00", v)], "k string, t string, v double").select(
+            "k", F.to_timestamp("t").alias("timestamp"), "v"
+        ).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema("k string, timestamp timestamp, v double").option("maxFilesPerTrigger", files).parquet(str(src))
+    unique = jobs.unique_samples(stream, ("k", "timestamp"))
+    jobs.append_to_files(unique, str(tmp_path / "u"), str(tmp_path / "uc"), "parquet").awaitTermination(180)
+    assert spark.read.schema(unique.schema).parquet(str(tmp_path / "u")).count() == 3
+    jobs.append_tumbling_sums(stream, str(tmp_path / "m"), str(tmp_path / "mc"), ["v"], ["k"], seconds=3600).awaitTermination(180)
+    got = jobs.means_so_far(spark.read.parquet(str(tmp_path / "m")), ["v"], ["k"])
+    assert {r["datetime"].hour: r["v_mean"] for r in got.collect()} == {1: 3.0, 3: 3.0, 5: 1.0}
+
+
+def test_rolling_block_treats_missing_values_as_batch(spark):
+    pdf = make_series(9, sizes=(90,), zeros=False)
+    pdf.loc[[20, 41], "value"] = np.nan
+    rows = spark.createDataFrame(pdf).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    want = features.cluster_features(rows, SeriesSpec(("s",), ("t", "i"))).toPandas().sort_values("i")
+    for name, got in jobs.rolling_block(pdf["value"].to_numpy(float), (5, 25, 50)).items():
+        assert np.allclose(got, want[name].to_numpy(float), atol=1e-6, equal_nan=True), name
+
+
 def test_stream_scoring_equals_batch(spark, tmp_path):
     rows = spark.range(100).select((F.col("id") % 17).cast("double").alias("value"))
     rows.write.parquet(str(tmp_path / "in"))

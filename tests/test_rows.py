@@ -99,6 +99,8 @@ def test_encoders(spark):
     test = spark.createDataFrame([("a", 2.0), ("z", 1.0)], "c string, x double")
     got = {r["x"]: r["c"] for r in encode.target_encode(train, test, "c", "y", prior_rows=2.0).collect()}
     assert np.isclose(got[2.0], (1 + 0.5 * 2) / 4) and got[1.0] == 0.0
+    none = encode.target_encode(train.where("x > 99"), test, "c", "y").collect()
+    assert [r["c"] for r in none] == [0.0, 0.0]
     diff = {r["x"]: r["c_cat_diff"] for r in encode.category_difference(train, test, "c", "x").collect()}
     assert diff == {2.0: 0.0, 1.0: None}
     hot = encode.one_hot(train, train, "c").toPandas()

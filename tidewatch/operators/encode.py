@@ -23,10 +23,10 @@ def lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def target_means(train: DataFrame, column: str, target: str, prior_rows: float = TARGET_PRIOR_ROWS) -> DataFrame:
-    """Smoothed target mean per category: (sum + prior * m) / (n + m)."""
-    prior = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
+    """Smoothed target mean per category: (sum + prior * m) / (n + m); no rows or labels, prior 0."""
+    prior = train.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
     return train.groupBy(column).agg(
-        ((F.sum(F.col(target).cast("double")) + F.lit(prior * prior_rows)) / (F.count(F.lit(1)) + F.lit(prior_rows))).alias("_code")
+        ((F.coalesce(F.sum(F.col(target).cast("double")), F.lit(0.0)) + F.lit(prior * prior_rows)) / (F.count(F.lit(1)) + F.lit(prior_rows))).alias("_code")
     )
 
 

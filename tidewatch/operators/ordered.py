@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.series import BLOCK_ROWS, POS, SeriesSpec, SeriesStats, join_keys, series_stats, with_ordered_cuts, with_positions
+from tidewatch.series import BLOCK_ROWS, POS, SeriesSpec, join_keys, series_stats, with_ordered_cuts, with_positions
 
 
 def running_sums(
@@ -24,7 +24,7 @@ def running_sums(
     if stats.max_rows <= block_rows:
         w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(*up_to)
         return df.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in columns])
-    rows = with_ordered_cuts(df, list(keys), order, stats, block_rows, "_cut")
+    rows = with_ordered_cuts(df, list(keys), [order], stats, block_rows, "_cut")
     totals = rows.groupBy(*keys, "_cut").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
     bw = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, "_cut", *[F.coalesce(F.sum(f"_t_{c}").over(bw), F.lit(0)).alias(f"_b_{c}") for c in columns])
@@ -82,7 +82,3 @@ def hash_rank(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int,
     rows = df.withColumn("_hash", F.xxhash64(F.lit(seed), *ids))
     spec = SeriesSpec(tuple(keys), ("_hash", *ids), "")
     return with_positions(rows, spec, **kw).withColumn(out, F.col(POS) + 1).drop(POS, "_hash")
-
-
-def stats_of(df: DataFrame, keys: Sequence[str]) -> SeriesStats:
-    return series_stats(df, keys)

@@ -19,11 +19,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BLOCK_ROWS = 1_000_000
 BROADCAST_ROWS = 200_000
-MAX_CUTS = 4096
 
 POS = "_pos"
 TOTAL = "_total"
@@ -32,7 +30,7 @@ BLK = "_blk"
 
 @dataclass(frozen=True)
 class SeriesSpec:
-    """Key columns, ordering columns (first one numeric or timestamp) and the measured column."""
+    """Key columns, ordering columns and the measured column."""
 
     series: tuple[str, ...]
     order: tuple[str, ...]
@@ -60,7 +58,7 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from the files.
 
     The folder is the session's ``spark.checkpoint.dir``; it must be shared storage on a cluster.
-    A folder under the working directory is used only when the setting is absent (local tests).
+    A temporary folder is used only when the setting is absent and the master is local (tests).
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -96,63 +94,18 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def sortable(df: DataFrame, name: str) -> Column:
-    """A numeric column with the order of ``name`` (times become integers)."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(name)
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name)
-    return F.col(name)
-
-
-def cut_index(value: Column, cuts: Column, n_cuts: int) -> Column:
-    """Number of sorted ``cuts`` that are <= value (binary search; missing cuts compare as false)."""
-    steps = []
-    s = 1
-    while s <= n_cuts:
-        s *= 2
-    s //= 2
-    while s >= 1:
-        steps.append(s)
-        s //= 2
-    if not steps:
-        return F.lit(0)
-    return F.aggregate(
-        F.array(*[F.lit(x) for x in steps]),
-        F.lit(0),
-        lambda acc, st: acc + F.when(F.get(cuts, acc + st - 1) <= value, st).otherwise(0),
-    )
-
-
 def with_ordered_cuts(
-    df: DataFrame, keys: Sequence[str], lead: str, stats: SeriesStats, block_rows: int, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], stats: SeriesStats, block_rows: int, out: str
 ) -> DataFrame:
-    """Add ``out``: an order-preserving cut number of ``lead`` inside each long key group.
+    """Add ``out``: a cut number that ascends with ``order`` inside each key group.
 
-    Cut points are approximate quantiles of ``lead`` (mergeable sketch, map-side combined), fixed
-    before use (reliable checkpoint, or a literal of at most ``MAX_CUTS`` values when there is no
-    key) so that every later use sees the same values.  Equal values share a cut.  Groups of at
-    most ``block_rows`` rows stay in cut 0.
+    Rows are range-partitioned on the keys and the whole order key, about a block to a cut, and written
+    once (reliable checkpoint), so that every later use sees the same cuts.  Cuts grow with the rows,
+    rows with equal leading values spread over cuts, and any sortable type will do.  Only rows that
+    are equal in the whole order key have to share a cut.
     """
-    n_cuts = 2
-    while n_cuts < MAX_CUTS and n_cuts * block_rows < 2 * stats.max_rows:
-        n_cuts *= 2
-    probs = [i / n_cuts for i in range(1, n_cuts)]
-    lead_value = sortable(df, lead)
-    quantiles = F.array_distinct(F.percentile_approx("_lead", probs, max(10_000, 10 * n_cuts)))
-    if not keys:
-        values = df.select(lead_value.alias("_lead")).agg(quantiles.alias("_cuts")).first()["_cuts"] or []
-        return df.withColumn(out, cut_index(lead_value, F.array(*[F.lit(v) for v in values]), n_cuts))
-    n_long = stats.n_rows // block_rows
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).drop("_n")
-    long_rows = join_keys(df.select(*keys, lead_value.alias("_lead")), small(sizes, n_long), keys, "inner")
-    cuts = durable(long_rows.groupBy(*keys).agg(quantiles.alias("_cuts")))
-    # a cut table row holds n_cuts numbers: count cells, not rows
-    joined = join_keys(df, small(cuts, max(n_long, n_long * n_cuts // 8)), keys, "left")
-    return joined.withColumn(out, F.coalesce(cut_index(lead_value, F.col("_cuts"), n_cuts), F.lit(0))).drop("_cuts")
+    n_cuts = max(2, -(-stats.n_rows // block_rows))
+    return durable(df.repartitionByRange(n_cuts, *keys, *order).withColumn(out, F.spark_partition_id()))
 
 
 def with_positions(
@@ -165,7 +118,7 @@ def with_positions(
         w = spec.window() if spec.series else Window.partitionBy(F.lit(0)).orderBy(*spec.order)
         return df.withColumn(POS, F.row_number().over(w) - 1)
     keys = list(spec.series)
-    cut = with_ordered_cuts(df, keys, spec.order[0], stats, block_rows, "_cut")
+    cut = with_ordered_cuts(df, keys, spec.order, stats, block_rows, "_cut")
     counts = cut.groupBy(*keys, "_cut").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_cut", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -21,8 +21,13 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return stats_samples(spark.readStream.schema(f"container STRING, {STATS_SCHEMA}").json(path))
 
 
-def unique_samples(df: DataFrame, keys: Sequence[str] = ("container", "timestamp"), time: str = "timestamp", delay: str = WATERMARK) -> DataFrame:
-    """Each (container, timestamp) once; state older than the watermark is dropped."""
+def unique_samples(
+    df: DataFrame, keys: Sequence[str] = ("container", "timestamp"), time: str = "timestamp", delay: str | None = None
+) -> DataFrame:
+    """Each (container, timestamp) once, however the input is dealt to micro-batches: every key stays
+    in the state.  With ``delay`` the state is bounded and rows behind the watermark are dropped."""
+    if delay is None:
+        return df.dropDuplicates(list(keys))
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -33,17 +38,47 @@ def append_to_files(df: DataFrame, path: str, checkpoint: str, fmt: str = "json"
     )
 
 
+def nearest_window(time: str, seconds: int) -> Column:
+    """Windows shifted by half their width: a sample belongs to the nearest multiple (a tie goes up)."""
+    return F.window(time, f"{seconds} seconds", startTime=f"{int(seconds * 500)} milliseconds")
+
+
+def window_centre(window: str, seconds: int) -> Column:
+    return F.col(f"{window}.start") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds / 2).cast("decimal(18,6)"))
+
+
 def tumbling_means(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str], time: str = "timestamp", seconds: int = 10, delay: str = WATERMARK
 ) -> DataFrame:
-    """Mean per key and rounded time.  Windows are shifted by half their width, so that a sample
-    belongs to the nearest multiple (a tie goes up); rows behind the watermark are dropped."""
-    half = seconds / 2
-    window = F.window(time, f"{seconds} seconds", startTime=f"{int(half * 1000)} milliseconds")
-    rows = df.withWatermark(time, delay).groupBy(window.alias("w"), *keys)
+    """Mean per key and rounded time for a stream without end: a window is emitted once, when the
+    watermark has passed it, and rows behind the watermark are dropped.  ``append_tumbling_sums``
+    drops none."""
+    rows = df.withWatermark(time, delay).groupBy(nearest_window(time, seconds).alias("w"), *keys)
     out = rows.agg(*[F.avg(c).alias(f"{c}_mean") for c in columns])
-    centre = F.col("w.start") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(half).cast("decimal(18,6)"))
-    return out.select(*keys, centre.alias("datetime"), *[f"{c}_mean" for c in columns])
+    return out.select(*keys, window_centre("w", seconds).alias("datetime"), *[f"{c}_mean" for c in columns])
+
+
+def append_tumbling_sums(
+    df: DataFrame, path: str, checkpoint: str, columns: Sequence[str], keys: Sequence[str], time: str = "timestamp", seconds: int = 10
+) -> StreamingQuery:
+    """Sums and counts per key, rounded time and micro-batch, one folder per micro-batch.
+
+    No row is late and no window waits; a micro-batch that runs again overwrites its own folder.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy(nearest_window(time, seconds).alias("w"), *keys).agg(
+            *[F.sum(F.col(c).cast("double")).alias(f"{c}_sum") for c in columns], *[F.count(c).alias(f"{c}_n") for c in columns]
+        )
+        rows = sums.withColumn("datetime", window_centre("w", seconds)).drop("w")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def means_so_far(sums: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Mean per key and rounded time over all micro-batches that ``append_tumbling_sums`` wrote."""
+    return sums.groupBy(*keys, "datetime").agg(*[F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n")).alias(f"{c}_mean") for c in columns])
 
 
 def score_stream(df: DataFrame, detector: ClusterDetector) -> DataFrame:
@@ -80,7 +115,8 @@ class RollingState(StatefulProcessor):
 
 
 def rolling_block(values: np.ndarray, windows: Sequence[int]) -> dict[str, np.ndarray]:
-    """The fallback statistics for one ordered run of values."""
+    """The fallback statistics for one ordered run of values; a window with a missing value (NaN) is
+    not full, as in batch."""
     n = len(values)
     out: dict[str, np.ndarray] = {}
     last = {"mean": values.copy(), "std": np.zeros(n), "kurt": np.zeros(n), "zscore": np.zeros(n), "entropy": np.zeros(n)}
@@ -88,11 +124,13 @@ def rolling_block(values: np.ndarray, windows: Sequence[int]) -> dict[str, np.nd
         now = {k: v.copy() for k, v in last.items()}
         if n >= w:
             x = np.lib.stride_tricks.sliding_window_view(values, w)
+            full = ~np.isnan(x).any(axis=1)
+            x = np.where(full[:, None], x, 0.0)
             mean = x.mean(axis=1)
             d = x - mean[:, None]
             var = (d**2).mean(axis=1)
-            flat = var <= 0
-            safe = np.where(flat, 1.0, var)
+            varied = var > 0
+            safe = np.where(varied, var, 1.0)
             kurt = ((w + 1) * ((d**4).mean(axis=1) / safe**2 - 3) + 6) * (w - 1) / ((w - 2) * (w - 3))
             z = d[:, -1] / np.sqrt(safe)
             total = x.sum(axis=1)
@@ -102,9 +140,10 @@ def rolling_block(values: np.ndarray, windows: Sequence[int]) -> dict[str, np.nd
             scale = np.where(one_sign, np.abs(total), 1.0)
             entropy = np.where(one_sign, np.log(scale) - terms / scale, 10000.0)
             at = slice(w - 1, n)
-            now["mean"][at], now["std"][at], now["entropy"][at] = mean, np.sqrt(var * w / (w - 1)), entropy
-            now["kurt"][at] = np.where(flat, now["kurt"][at], kurt)
-            now["zscore"][at] = np.where(flat, now["zscore"][at], z)
+            found = {"mean": (full, mean), "std": (full, np.sqrt(var * w / (w - 1))), "entropy": (full, entropy)}
+            found |= {"kurt": (full & varied, kurt), "zscore": (full & varied, z)}
+            for k, (valid, v) in found.items():
+                now[k][at] = np.where(valid, v, now[k][at])
         out.update({f"value_w{w}_{k}": v for k, v in now.items()})
         last = now
     return out
