@@ -246,7 +246,8 @@ def node_links(reps: DataFrame, texts: DataFrame, k: int, percent: int, block: i
     mixed_buckets = known.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
     unsettled = known.join(mixed_buckets, "bucket", "left_semi").join(reps.select("rep", "n", "bands"), "rep")
     keys = ["bucket", "left", "right"]
-    schema = "bucket long, left int, right int, rep long"
+    members = [*keys, "side", "rep", "comp", "n", "bands"]
+    schema = "bucket long, left int, right int, side int, rep long, comp long, n long, bands array<int>"
 
     def needed(t: pa.Table, starts: np.ndarray) -> pa.Table | None:
         out = []
@@ -255,15 +256,18 @@ def node_links(reps: DataFrame, texts: DataFrame, k: int, percent: int, block: i
                 x, y = candidates(t, lo, hi, percent)
                 if len(x):
                     out.append(np.unique(np.concatenate([x, y])) + lo)
-        return t.select([*keys, "rep"]).take(pa.array(np.concatenate(out))) if out else None
+        return t.select(members).take(pa.array(np.concatenate(out))) if out else None
 
     blocks = in_blocks(unsettled, "bucket", "rep", block)
-    wanted = stored(over_groups(blocks.select(*keys, "side", "rep", "comp", "n", "bands"), keys, needed, schema), "wanted")
-    found = _second(blocks, wanted, sets, keys, percent)
+    # members that have to be compared, with all that the comparison needs but their sets
+    wanted = stored(over_groups(blocks.select(*members), keys, needed, schema), "wanted")
+    found = compared(wanted, sets, keys, percent)
     return joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)
 
 
-def _second(blocks: DataFrame, wanted: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
+def compared(wanted: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links (a, b) between members of different components, from the full sets of each group."""
+
     def compare(t: pa.Table, starts: np.ndarray) -> pa.Table | None:
         a, b = [], []
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -283,8 +287,8 @@ def _second(blocks: DataFrame, wanted: DataFrame, sets: DataFrame, keys: list[st
                 b.append(int(rep[y[i]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}) if a else None
 
-    full = blocks.join(wanted, [*keys, "rep"], "left_semi").join(sets, "rep")
-    return over_groups(full.select(*keys, "side", "rep", "comp", "n", "bands", "elements"), keys, compare, "a long, b long")
+    full = wanted.join(sets, "rep").select(*wanted.columns, "elements")
+    return over_groups(full, keys, compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
