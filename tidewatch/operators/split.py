@@ -86,6 +86,17 @@ def window_split(df: DataFrame, index: str, total: int, train: float = 0.4, vali
     return df.withColumn("split", F.when(i < a, "train").when(i < b, "validation").otherwise("test"))
 
 
+def normal_window_split(windows: DataFrame, spec: SeriesSpec, label: str = "window_label", train: float = 0.4, validation: float = 0.1, **kw) -> DataFrame:
+    """40/10/50 split of the normal windows in the order of ``spec``; every other window is test.
+    A missing label counts as normal."""
+    from tidewatch.series import POS, with_positions
+
+    attack = F.coalesce(F.col(label), F.lit(0)) != 0
+    normal = windows.where(~attack)
+    rows = window_split(with_positions(normal, spec, **kw), POS, normal.count(), train, validation)
+    return rows.select(*windows.columns, "split").unionByName(windows.where(attack).withColumn("split", F.lit("test")))
+
+
 def hide_labels(df: DataFrame, label: str, ids: Sequence[str], share: float = 0.75, seed: int = 0, out: str | None = None, **kw) -> DataFrame:
     """Set a random share of the positive labels to 0 (round half to even of share * positives)."""
     ranked = hash_rank(df, [label], ids, seed, "_rank", **kw)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import balance, encode, embedding, neighbors, normalize, split
-from tidewatch.plans.roles import LABELLED_SQL, TAGGED_SQL, TYPE, USER, Query, events, labelled, order_sql, rounded, table, tagged_events
+from tidewatch.plans.roles import ALL, LABELLED_SQL, TAGGED_SQL, TYPE, USER, Query, events, labelled, order_sql, rounded, table, tagged_events
+from tidewatch.series import durable
 
 TRAIN, TEST = "o_orderdate < '1999-01-01'", "o_orderdate >= '1999-01-01'"
 TRAIN_SQL, TEST_SQL = "o_orderdate < TIMESTAMP '1999-01-01'", "o_orderdate >= TIMESTAMP '1999-01-01'"
@@ -71,6 +72,20 @@ SELECT CASE WHEN i < floor(0.4::DOUBLE * n) THEN 'train' WHEN i < floor(0.5::DOU
 FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () - 5 AS n FROM events) WHERE i < n GROUP BY 1"""
 
 
+def normal_windows(spark, sf):
+    rows = labelled(spark, sf).select("event_id", "ts", "value", "k", "is_anomaly")
+    windows = embedding.matrix_windows(rows, ALL, ["value", "k"], 5, "is_anomaly").select("event_id", "ts", "window_label")
+    return split.normal_window_split(durable(windows), ALL).select("event_id", "window_label", "split")
+
+
+NORMAL_WINDOWS_SQL = f"""
+WITH w AS (
+  SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () - 5 AS n,
+         max(is_anomaly) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS window_label FROM ({LABELLED_SQL})),
+m AS (SELECT *, row_number() OVER (PARTITION BY window_label ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY window_label) AS m FROM w WHERE i < n)
+SELECT event_id, window_label, CASE WHEN window_label = 1 THEN 'test' WHEN j < floor(0.4::DOUBLE * m) THEN 'train' WHEN j < floor(0.5::DOUBLE * m) THEN 'validation' ELSE 'test' END AS split FROM m"""
+
+
 def hidden(spark, sf):
     rows = split.hide_labels(labelled(spark, sf), "is_anomaly", ["event_id"], 0.75, seed=3, out="shown")
     return rows.groupBy("is_anomaly", "shown").agg(F.count(F.lit(1)).alias("n"))
@@ -248,6 +263,9 @@ QUERIES = [
     Query("contiguous_folds", contiguous, CONTIGUOUS_SQL),
     Query("stratified_series_folds", series_folds, SERIES_FOLDS_SQL),
     Query("window_split", window_split, WINDOW_SPLIT_SQL),
+    Query("normal_window_split", normal_windows, NORMAL_WINDOWS_SQL),
+    Query("constant_label", lambda spark, sf: events(spark, sf).select("event_id", "value", F.lit(0).alias("is_anomaly")), "SELECT event_id, value, 0 AS is_anomaly FROM events"),
+    Query("shuffled_rows", lambda spark, sf: balance.shuffled(labelled(spark, sf).select("event_id", "is_anomaly"), ["event_id"], seed=5), f"SELECT event_id, is_anomaly FROM ({LABELLED_SQL})"),
     Query("hidden_labels", hidden, HIDDEN_SQL),
     Query("replicate_positives", replicated, REPLICATED_SQL),
     Query("synthetic_and_undersampled", smote, SMOTE_SQL),

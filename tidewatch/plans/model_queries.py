@@ -9,7 +9,7 @@ from tidewatch.operators import evaluate as ev
 from tidewatch.operators.embedding import flat, matrix_windows
 from tidewatch.plans.roles import LABELLED_SQL, TYPE, USER, Query, labelled, rounded, stats_sql
 from tidewatch.plans.series_queries import _with_stats
-from tidewatch.series import durable, over_series
+from tidewatch.series import durable, over_series, series_stats
 
 COLUMNS = ["value", "value_w5_mean", "value_w5_std", "value_w25_mean", "value_w25_std", "value_w25_zscore"]
 SCORE_COLUMNS = ["event_id", "is_anomaly"]
@@ -23,6 +23,17 @@ def feature_rows(spark, sf):
     return durable(split.ordered_split(rows, TYPE))
 
 
+def profile_rows(spark, sf):
+    """The table the three profiles look at: every series divided by its 90th percentile, smoothed,
+    with the cluster features and the ordered split, written once."""
+    rows = labelled(spark, sf).select("event_id", "event_type", "ts", "value", "is_anomaly")
+    stats = series_stats(rows, TYPE.series)
+    rows = features.smooth(normalize.by_percentile(rows, TYPE, 90.0, stats=stats), TYPE, 3.0, stats=stats)
+    rows = features.cluster_features(rows, TYPE, stats=stats)
+    used = dict.fromkeys(c for p in detect.PROFILES for c in ("value", *detect.Profile.named(p).features))
+    return durable(split.ordered_split(rows.select("event_id", "event_type", "ts", "is_anomaly", *used), TYPE))
+
+
 STATS_ROWS = stats_sql(f"SELECT event_id, event_type, ts, value, k, is_anomaly FROM ({LABELLED_SQL})")
 CENTRE_COLUMNS = ["value", "value_w25_mean", "value_w25_std"]
 
@@ -46,22 +57,22 @@ SELECT event_id, cluster, round(distance, 6) AS distance, CASE WHEN distance > b
 
 
 def cluster_detection(spark, sf):
-    rows = feature_rows(spark, sf)
+    rows = profile_rows(spark, sf)
     return detect.detect_profiles(rows, [detect.Profile.named(p) for p in detect.PROFILES]).select(
         "event_id", "is_anomaly", "flag_spike", "flag_level_shift", "flag_dip", "predicted"
     )
 
 
 def cluster_evaluation(spark, sf):
-    rows = feature_rows(spark, sf)
+    rows = profile_rows(spark, sf)
     rows = detect.detect_profiles(rows, [detect.Profile.named(p) for p in detect.PROFILES])
     rows = tolerance.adjust_predictions(rows, TYPE, "is_anomaly", "predicted")
     return rounded(ev.evaluate_types(rows, "is_anomaly", {"original": "predicted", "adjusted": "adjusted"}))
 
 
 def cross_dataset(spark, sf):
-    """Fit on one part of the series, flag another part."""
-    rows = feature_rows(spark, sf)
+    """Fit on some series, flag another; both normalised and smoothed alike."""
+    rows = profile_rows(spark, sf)
     train, other = rows.where(F.col("event_type") != "view"), rows.where(F.col("event_type") == "view")
     profile = detect.Profile.named("spike")
     out = detect.detect_profiles(other, [profile], train=train, percentile=detect.CROSS_DATASET_PERCENTILE)
@@ -77,6 +88,24 @@ def _model(name, cut=0.5, **kw):
     return build
 
 
+def single_feature(spark, sf):
+    """Training on the value alone: all other columns are left out."""
+    rows = split.ordered_split(labelled(spark, sf).select("event_id", "event_type", "ts", "value", "is_anomaly"), TYPE)
+    train, test = rows.where("split = 'train'").select("value", "is_anomaly"), rows.where("split = 'test'").select("event_id", "value", "is_anomaly")
+    model = models.fit("ridge", train, ["value"])
+    return rounded(models.score(model, test, ["value"]).select(*SCORE_COLUMNS, "score"), 4)
+
+
+#: The normal equations of sum (y - a - b x)^2 + b^2.
+SINGLE_SQL = f"""
+WITH r AS MATERIALIZED (
+  SELECT event_id, value, is_anomaly, 2 * is_anomaly - 1 AS y,
+         row_number() OVER (ORDER BY event_type, ts, event_id) - 1 < count(*) OVER () - CAST(ceil(0.3::DOUBLE * count(*) OVER ()) AS BIGINT) AS train
+  FROM ({LABELLED_SQL})),
+m AS (SELECT avg(value) AS mx, avg(y) AS my, (count(*) * covar_pop(value, y)) / (count(*) * var_pop(value) + 1) AS b FROM r WHERE train)
+SELECT event_id, is_anomaly, round(my + b * (value - mx), 4) AS score FROM r, m WHERE NOT train"""
+
+
 def importances(spark, sf):
     rows = feature_rows(spark, sf)
     model = models.fit("deep_boosted_trees", rows.where("split = 'train'"), COLUMNS)
@@ -89,13 +118,13 @@ def model_evaluation(spark, sf):
 
 
 def fold_evaluation(spark, sf):
-    rows = split.contiguous_folds(feature_rows(spark, sf).drop("split"), TYPE, 3)
+    rows = split.contiguous_folds(feature_rows(spark, sf).drop("split"), TYPE, 5)
 
     def one(train, test):
         detector = detect.ClusterDetector.fit(train.where("is_anomaly = 0"), CENTRE_COLUMNS, 4)
         return detector.transform(test)
 
-    result = models.run_folds(rows, "fold", 3, one, TYPE)
+    result = models.run_folds(rows, "fold", 5, one, TYPE)
     return rounded(ev.fold_summary(result, ["accuracy", "precision", "recall", "auc", "f1"], keys=["type"]))
 
 
@@ -107,7 +136,7 @@ def tuned(spark, sf):
 
 def isolation(spark, sf):
     rows = feature_rows(spark, sf)
-    forest = detect.isolation_forest(rows, ["event_id"], COLUMNS, trees=50)
+    forest = detect.isolation_forest(rows, ["event_id"], COLUMNS)
     return rounded(forest.predict(rows).select(*SCORE_COLUMNS, "score", "predicted"), 6)
 
 
@@ -184,7 +213,8 @@ QUERIES = [
     Query("cluster_detection_evaluation", cluster_evaluation),
     Query("cross_dataset_detection", cross_dataset),
     Query("boosted_trees_scores", _model("boosted_trees", models.SCORE_CUT, balance="down", rounds=10)),
-    Query("random_forest_scores", _model("random_forest", trees=20, balance="weight")),
+    Query("random_forest_scores", _model("random_forest", balance="weight")),
+    Query("single_feature_ridge", single_feature, SINGLE_SQL),
     Query("ridge_scores", _model("ridge", 0.0)),
     Query("ridge_weighted_scores", _model("ridge", 0.0, balance="weight")),
     Query("dense_network_scores", _model("dense_network", hidden=(16, 16), rounds=20, balance="replicate")),
