@@ -221,14 +221,16 @@ SET_A_SQL = (
 
 SET_C = [*LAG_COLS, "first_diff", "second_diff", "first_long_diff", "second_long_diff", *RATIO_COLS, "first_diff_ratio",
          "second_diff_ratio", "value_ratio", *stat_names()]
-C_RATIOS = [f"value_w25_{s}_ratio" for s in ("std", "entropy", "mean")]
+C_STATS = ("std", "kurt", "entropy", "zscore", "mean")
+C_RATIOS = [f"value_w25_{s}_ratio" for s in C_STATS]
 SET_C_SQL = f"""
 SELECT event_id, {rounded_sql(SET_C)}, {rounded_sql(C_RATIOS)} FROM (
   SELECT *, {own_mean_sql('value')} AS value_ratio,
-    {', '.join(f"{own_mean_sql(f'value_w25_{s}')} AS value_w25_{s}_ratio" for s in ('std', 'entropy', 'mean'))}
+    {', '.join(f"{own_mean_sql(f'value_w25_{s}')} AS value_w25_{s}_ratio" for s in C_STATS)}
   FROM ({stats_sql(_level_two(_level_one('abs', 'first_diff_ratio'), 'abs', 'first_diff_ratio'))}))"""
 
-B_RATIOS = ["value_ratio", *[f"value_w50_{s}_ratio" for s in ("std", "entropy", "mean")]]
+B_STATS = ("std", "kurt", "entropy", "zscore", "mean")
+B_RATIOS = ["value_ratio", *[f"value_w50_{s}_ratio" for s in B_STATS]]
 SET_B = [*stat_names(), *B_RATIOS, "value_trend_removed", "value_season_trend_removed"]
 NOM = [f"nom_value_w{n}_{s}" for n in (5, 25, 50) for s in ("mean", "std", "zscore")]
 SET_B_SQL = f"""
@@ -236,7 +238,7 @@ SELECT event_id, {rounded_sql(SET_B)}, {rounded_sql([*NOM, 'nom_value_w50_std_ra
   SELECT *, {own_mean_sql('nom_value_w50_std')} AS nom_value_w50_std_ratio FROM (
   {stats_sql(f'''SELECT *, value_trend_removed - season AS value_season_trend_removed,
     {own_mean_sql('value')} AS value_ratio,
-    {', '.join(f"{own_mean_sql(f'value_w50_{s}')} AS value_w50_{s}_ratio" for s in ('std', 'entropy', 'mean'))}
+    {', '.join(f"{own_mean_sql(f'value_w50_{s}')} AS value_w50_{s}_ratio" for s in B_STATS)}
     FROM ({season_sql(TREND, 'value_trend_removed')})''', col='value_season_trend_removed', prefix='nom_')}))"""
 
 
