@@ -232,10 +232,11 @@ SELECT event_id, {rounded_sql(SET_C)}, {rounded_sql(C_RATIOS)} FROM (
 B_STATS = ("std", "kurt", "entropy", "zscore", "mean")
 B_RATIOS = ["value_ratio", *[f"value_w50_{s}_ratio" for s in B_STATS]]
 SET_B = [*stat_names(), *B_RATIOS, "value_trend_removed", "value_season_trend_removed"]
-NOM = [f"nom_value_w{n}_{s}" for n in (5, 25, 50) for s in ("mean", "std", "zscore")]
+NOM = [f"nom_value_w{n}_{s}" for n in (5, 25, 50) for s in ("mean", "std", "kurt", "zscore", "entropy")]
+NOM_RATIOS = [f"nom_value_w50_{s}_ratio" for s in ("std", "kurt", "entropy")]
 SET_B_SQL = f"""
-SELECT event_id, {rounded_sql(SET_B)}, {rounded_sql([*NOM, 'nom_value_w50_std_ratio'])} FROM (
-  SELECT *, {own_mean_sql('nom_value_w50_std')} AS nom_value_w50_std_ratio FROM (
+SELECT event_id, {rounded_sql(SET_B)}, {rounded_sql([*NOM, *NOM_RATIOS])} FROM (
+  SELECT *, {', '.join(f"{own_mean_sql(r.removesuffix('_ratio'))} AS {r}" for r in NOM_RATIOS)} FROM (
   {stats_sql(f'''SELECT *, value_trend_removed - season AS value_season_trend_removed,
     {own_mean_sql('value')} AS value_ratio,
     {', '.join(f"{own_mean_sql(f'value_w50_{s}')} AS value_w50_{s}_ratio" for s in B_STATS)}
@@ -568,7 +569,7 @@ QUERIES = [
     Query("feature_set_lags", lambda s, d: _ids(features.lag_features(_ev(s, d), TYPE), *SET_A), SET_A_SQL),
     Query(
         "feature_set_seasonal",
-        lambda s, d: _ids(features.seasonal_features(_ev(s, d), TYPE), *SET_B, *NOM, "nom_value_w50_std_ratio"), SET_B_SQL,
+        lambda s, d: _ids(features.seasonal_features(_ev(s, d), TYPE), *SET_B, *NOM, *NOM_RATIOS), SET_B_SQL,
     ),
     Query("feature_set_cluster", lambda s, d: _ids(features.cluster_features(_ev(s, d), TYPE), *SET_C, *C_RATIOS), SET_C_SQL),
     Query("normalise_p90", _normalised(90.0), _normalised_sql(0.9)),
