@@ -169,3 +169,16 @@ def test_reconstruction_scores_flag_the_odd_window(spark):
     df = spark.createDataFrame(rows, "vector array<double>, a int")
     out = detect.reconstruction_scores(df.where("a > 0"), df, "vector", 2)
     assert out.orderBy(F.desc("score")).first()["a"] == -1
+
+
+def test_normal_windows_are_split_and_attack_windows_are_test(spark):
+    from tidewatch.operators import split
+    from tidewatch.series import SeriesSpec
+
+    labels = [0, 1, 0, 0, None, 0, 1, 0, 0, 0, 0, 0, 1]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(labels)], "i long, window_label int")
+    got = {r.i: r.split for r in split.normal_window_split(df, SeriesSpec((), ("i",), "")).collect()}
+    normal = [i for i, v in enumerate(labels) if not v]
+    assert [got[i] for i in normal] == ["train"] * 4 + ["validation"] + ["test"] * 5
+    assert all(got[i] == "test" for i, v in enumerate(labels) if v)
+    assert split.normal_window_split(df.where("false"), SeriesSpec((), ("i",), "")).count() == 0
