@@ -1,8 +1,10 @@
 """Cross-site boilerplate lines by their distinct-site spread.
 
 A line is boilerplate if it stands on at least ``min_sites`` distinct sites and in at least as many
-distinct surroundings (the lines before and after it).  The second test spares the lines of copied
-documents: a copy brings the same neighbours along, a licence line or a menu does not.
+distinct surroundings (the lines before and after it), which is what ``LINES_SQL`` states.  The second
+test spares the lines of copied documents, which bring the same neighbours along, but also the inner
+lines of a menu or notice of three or more lines.  ``by="texts"`` counts distinct whole texts instead
+of surroundings: equal copies are one text, and every line of a block goes.
 
 Both spreads are HyperLogLog sketches per line hash, merged by aggregation (map-side first, so a line
 of a third of all documents costs one sketch per task).  Estimates inside a band around the threshold
@@ -33,17 +35,25 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_rows(docs: DataFrame, site_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(line, site, around): a row per line that is long enough; rows without a site are one site."""
+def line_rows(docs: DataFrame, site_col: str, text_col: str, min_chars: int, by: str = "surroundings") -> DataFrame:
+    """(line, site, around): a row per line that is long enough; rows without a site are one site.
+    ``around`` is the hash of the lines before and after, or of the whole text."""
+    if by not in ("surroundings", "texts"):
+        raise ValueError(f"by is surroundings or texts, not {by}")
     at = lambda a, i: F.coalesce(F.trim(F.get(a, i)), F.lit("\n"))
-    parts = docs.select(F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0"))).alias("site"), lines_of(F.col(text_col)).alias("l"))
+    site = F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0"))).alias("site")
+    if by == "texts":
+        parts = docs.select(site, F.xxhash64(F.col(text_col)).alias("around"), lines_of(F.col(text_col)).alias("l"))
+        rows = parts.select("site", "around", F.explode("l").alias("line")).where(F.length(F.trim("line")) >= min_chars)
+        return rows.select(key_of(F.col("line")).alias("line"), "site", "around")
+    parts = docs.select(site, lines_of(F.col(text_col)).alias("l"))
     rows = parts.select("site", "l", F.posexplode("l").alias("i", "line")).where(F.length(F.trim("line")) >= min_chars)
     return rows.select(key_of(F.col("line")).alias("line"), "site", F.xxhash64(at(F.col("l"), F.col("i") - 1), at(F.col("l"), F.col("i") + 1)).alias("around"))
 
 
-def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, site_col: str = "source", text_col: str = "text") -> DataFrame:
+def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, site_col: str = "source", text_col: str = "text", by: str = "surroundings") -> DataFrame:
     """(line): hashes of the boilerplate lines of ``docs``."""
-    rows = line_rows(docs, site_col, text_col, min_chars)
+    rows = line_rows(docs, site_col, text_col, min_chars, by)
     sketched = rows.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("a"), F.hll_sketch_agg("around", F.lit(LG_K)).alias("b"))
     least = F.least(F.hll_sketch_estimate("a"), F.hll_sketch_estimate("b"))
     judged = stored(sketched.select("line", least.alias("n")).where(F.col("n") >= min_sites * (1 - BAND)), "spread")
@@ -56,6 +66,7 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = M
 
 def remove_spread_lines(
     docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text",
+    by: str = "surroundings",
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and n_lines and n_removed.
 
@@ -65,7 +76,7 @@ def remove_spread_lines(
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    bad = stored(spread_lines(docs, min_sites, min_chars, site_col, text_col), "boilerplate")
+    bad = stored(spread_lines(docs, min_sites, min_chars, site_col, text_col, by), "boilerplate")
     # which lines each document loses: hashes, so rows that share an id may share the list
     mine = rows.select(F.col(id_col).alias("_id"), F.explode(lines_of(F.col(text_col))).alias("_l")).where(F.length(F.trim("_l")) >= min_chars)
     lost = mine.select("_id", key_of(F.col("_l")).alias("line")).join(bad, "line").groupBy("_id").agg(F.collect_set("line").alias("_lost"))
