@@ -1,7 +1,8 @@
 """Preparing a training corpus: five stages over ``documents``, each written before the next reads it.
 
 1. quality: documents that the learned rules (or the base rules) reject go.
-2. lines: boilerplate lines that stand on many sites in many different texts are taken out.
+2. lines: boilerplate lines that stand on many sites in many different texts are taken out
+   (short ones must stand on more).
 3. near_duplicates: of each group of near-duplicates (five-word shingles, similarity 0.8) the
    document with the smallest id stays; texts without words stay.
 4. mixing: every source is repeated or thinned to the same share of the characters, in random order.
@@ -30,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_spread.remove_spread_lines(docs, by="texts").select(*docs.columns)
+    return line_spread.remove_spread_lines(docs, by="texts", short=True).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

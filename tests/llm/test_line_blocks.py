@@ -19,3 +19,10 @@ def test_pipeline_takes_whole_blocks(spark, documents):
     rows = [(i, "\n".join([f"own opening of the document {i}", *MENU, f"own ending of the document {i}"]), f"site{i}") for i in range(12)]
     out = dict(corpus_pipeline.STAGES)["lines"](spark, documents(rows, clash=False), "").collect()
     assert all(r.text == f"own opening of the document {r.doc_id}\nown ending of the document {r.doc_id}" for r in out)
+
+
+def test_short_lines_need_more_sites(documents):
+    rows = [(i, f"own opening of the document {i}\nRead more\n\r\n{'Share this' if i < 14 else 'x'}\nown ending of the document {i}", f"site{i}") for i in range(19)]
+    out = {r.doc_id: r.text for r in line_spread.remove_spread_lines(documents(rows), by="texts", short=True).collect()}
+    # 9 characters: 16 of 19 sites; 10 characters: 15, but 14 have the line; blank lines stay
+    assert all(out[i] == rows[i][1].replace("Read more\n", "") for i in range(19))

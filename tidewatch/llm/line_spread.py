@@ -4,7 +4,8 @@ A line is boilerplate if it stands on at least ``min_sites`` distinct sites and
 distinct surroundings (the lines before and after it), which is what ``LINES_SQL`` states.  The second
 test spares the lines of copied documents, which bring the same neighbours along, but also the inner
 lines of a menu or notice of three or more lines.  ``by="texts"`` counts distinct whole texts instead
-of surroundings: equal copies are one text, and every line of a block goes.
+of surroundings: equal copies are one text, and every line of a block goes.  ``short=True`` looks at every line that is not blank
+and asks more of one under ``min_chars``, rising evenly to twice ``min_sites``.
 
 Both spreads are HyperLogLog sketches per line hash, merged by aggregation (map-side first, so a line
 of a third of all documents costs one sketch per task).  Estimates inside a band around the threshold
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import stored
 
 MIN_SITES = 10
-#: Shorter lines ("Of.") say too little to be called boilerplate.
+#: Shorter lines ("Of.") say little: they are left alone, or asked for more sites (``short``).
 MIN_CHARS = 20
 LG_K = 10
 #: Half the width of the band, relative: over six standard errors (1.04 / sqrt(2 ** LG_K)).
@@ -35,8 +36,19 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_rows(docs: DataFrame, site_col: str, text_col: str, min_chars: int, by: str = "surroundings") -> DataFrame:
-    """(line, site, around): a row per line that is long enough; rows without a site are one site.
+def looked_at(line: Column, min_chars: int, short: bool) -> Column:
+    """Whether a line is looked at: long enough, or with ``short`` any that is not blank."""
+    return F.length(F.trim(line)) >= min_chars if not short else line.rlike("\\S")
+
+
+def needed(line: Column, min_sites: int, min_chars: int) -> Column:
+    """Sites asked of a line: ``min_sites``, rising evenly to twice as many as it gets shorter than ``min_chars``."""
+    missing = F.greatest(F.lit(min_chars) - F.length(F.trim(line)), F.lit(0))
+    return F.lit(min_sites) + F.ceil(missing * min_sites / max(min_chars, 1)).cast("int")
+
+
+def line_rows(docs: DataFrame, site_col: str, text_col: str, min_chars: int, by: str = "surroundings", short: bool = False, min_sites: int = MIN_SITES) -> DataFrame:
+    """(line, need, site, around): a row per line that is looked at; rows without a site are one site.
     ``around`` is the hash of the lines before and after, or of the whole text."""
     if by not in ("surroundings", "texts"):
         raise ValueError(f"by is surroundings or texts, not {by}")
@@ -44,29 +56,29 @@ def line_rows(docs: DataFrame, site_col: str, text_col: str, min_chars: int, by:
     site = F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0"))).alias("site")
     if by == "texts":
         parts = docs.select(site, F.xxhash64(F.col(text_col)).alias("around"), lines_of(F.col(text_col)).alias("l"))
-        rows = parts.select("site", "around", F.explode("l").alias("line")).where(F.length(F.trim("line")) >= min_chars)
-        return rows.select(key_of(F.col("line")).alias("line"), "site", "around")
+        rows = parts.select("site", "around", F.explode("l").alias("line")).where(looked_at(F.col("line"), min_chars, short))
+        return rows.select(key_of(F.col("line")).alias("line"), needed(F.col("line"), min_sites, min_chars).alias("need"), "site", "around")
     parts = docs.select(site, lines_of(F.col(text_col)).alias("l"))
-    rows = parts.select("site", "l", F.posexplode("l").alias("i", "line")).where(F.length(F.trim("line")) >= min_chars)
-    return rows.select(key_of(F.col("line")).alias("line"), "site", F.xxhash64(at(F.col("l"), F.col("i") - 1), at(F.col("l"), F.col("i") + 1)).alias("around"))
+    rows = parts.select("site", "l", F.posexplode("l").alias("i", "line")).where(looked_at(F.col("line"), min_chars, short))
+    return rows.select(key_of(F.col("line")).alias("line"), needed(F.col("line"), min_sites, min_chars).alias("need"), "site", F.xxhash64(at(F.col("l"), F.col("i") - 1), at(F.col("l"), F.col("i") + 1)).alias("around"))
 
 
-def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, site_col: str = "source", text_col: str = "text", by: str = "surroundings") -> DataFrame:
+def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, site_col: str = "source", text_col: str = "text", by: str = "surroundings", short: bool = False) -> DataFrame:
     """(line): hashes of the boilerplate lines of ``docs``."""
-    rows = line_rows(docs, site_col, text_col, min_chars, by)
-    sketched = rows.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("a"), F.hll_sketch_agg("around", F.lit(LG_K)).alias("b"))
+    rows = line_rows(docs, site_col, text_col, min_chars, by, short, min_sites)
+    sketched = rows.groupBy("line").agg(F.max("need").alias("need"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("a"), F.hll_sketch_agg("around", F.lit(LG_K)).alias("b"))
     least = F.least(F.hll_sketch_estimate("a"), F.hll_sketch_estimate("b"))
-    judged = stored(sketched.select("line", least.alias("n")).where(F.col("n") >= min_sites * (1 - BAND)), "spread")
-    sure = judged.where(F.col("n") > min_sites * (1 + BAND)).select("line")
-    near = judged.where(F.col("n") <= min_sites * (1 + BAND)).select("line")
+    judged = stored(sketched.select("line", "need", least.alias("n")).where(F.col("n") >= F.col("need") * (1 - BAND)), "spread")
+    sure = judged.where(F.col("n") > F.col("need") * (1 + BAND)).select("line")
+    near = judged.where(F.col("n") <= F.col("need") * (1 + BAND)).select("line")
     # at most one row per line, site and surroundings; a line near the threshold has few of one kind
-    exact = rows.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("a"), F.countDistinct("around").alias("b"))
-    return sure.unionAll(exact.where((F.col("a") >= min_sites) & (F.col("b") >= min_sites)).select("line"))
+    exact = rows.join(near, "line", "left_semi").groupBy("line").agg(F.max("need").alias("need"), F.countDistinct("site").alias("a"), F.countDistinct("around").alias("b"))
+    return sure.unionAll(exact.where((F.col("a") >= F.col("need")) & (F.col("b") >= F.col("need"))).select("line"))
 
 
 def remove_spread_lines(
     docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text",
-    by: str = "surroundings",
+    by: str = "surroundings", short: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and n_lines and n_removed.
 
@@ -76,13 +88,13 @@ def remove_spread_lines(
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    bad = stored(spread_lines(docs, min_sites, min_chars, site_col, text_col, by), "boilerplate")
+    bad = stored(spread_lines(docs, min_sites, min_chars, site_col, text_col, by, short), "boilerplate")
     # which lines each document loses: hashes, so rows that share an id may share the list
-    mine = rows.select(F.col(id_col).alias("_id"), F.explode(lines_of(F.col(text_col))).alias("_l")).where(F.length(F.trim("_l")) >= min_chars)
+    mine = rows.select(F.col(id_col).alias("_id"), F.explode(lines_of(F.col(text_col))).alias("_l")).where(looked_at(F.col("_l"), min_chars, short))
     lost = mine.select("_id", key_of(F.col("_l")).alias("line")).join(bad, "line").groupBy("_id").agg(F.collect_set("line").alias("_lost"))
     joined = rows.join(lost, F.col(id_col).eqNullSafe(F.col("_id")), "left")
     all_lines = lines_of(F.col(text_col))
-    left = F.when(F.col("_lost").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~((F.length(F.trim(x)) >= min_chars) & F.array_contains("_lost", key_of(x)))))
+    left = F.when(F.col("_lost").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~(looked_at(x, min_chars, short) & F.array_contains("_lost", key_of(x)))))
     out = joined.withColumn("_left", left)
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long")
     text = F.when(F.col(text_col).isNull() | F.col("_lost").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))
