@@ -193,7 +193,7 @@ class SuffixArray:
         if not len(s):
             self.prefix = np.zeros(0, dtype=np.int64)
             return s
-        rest = np.arange(72)
+        rest = np.arange(max(8, -(-int(self.tail[s].max()) // 8) * 8))  # the longest tail, in whole words
         tails = self.flat[np.minimum(self.at[s][:, None] + self.length + rest, len(self.flat) - 1)]
         tails = np.where(rest < self.tail[s][:, None], tails, 0).astype(np.uint8)
         words = np.ascontiguousarray(tails).view(">u8").astype(np.uint64)
@@ -205,7 +205,7 @@ class SuffixArray:
             part = slice(a, a + 50_000)
             same[part] &= (fronts[self.at[s[1:][part]]] == fronts[self.at[s[:-1][part]]]).all(axis=1)
         differ = tails[1:] != tails[:-1]
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), 72)
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), len(rest))
         common = np.minimum(common, np.minimum(self.tail[s[1:]], self.tail[s[:-1]]))
         self.prefix = np.where(same, self.length + common, 0)
         return s
