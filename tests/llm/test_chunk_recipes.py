@@ -51,11 +51,12 @@ def test_chunks_cover_the_text(documents):
 
 def test_chunks_come_back_after_an_insertion(documents):
     """An inserted word changes the chunks around it, not those behind."""
-    body = "".join(f"Sentence number {i} of a text with {i * i} words. " for i in range(400))
+    word = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:5]
+    body = "".join(f"sentence {i} {word(i)} and a {word(i * i)} had been made by {word(i + 7)}. " for i in range(400))
     df = documents([(1, body), (2, "One more start. " + body), (3, body[:9000] + "inserted " + body[9000:])])
     got = {r.id: r.recipe for r in chunk_recipes.recipes(df).collect()}
     for other in (2, 3):
-        assert len(set(got[1]) & set(got[other])) >= len(got[1]) - 6
+        assert len(set(got[1]) & set(got[other])) >= len(got[1]) - 8 > 20
 
 
 def test_without_copies(documents):
