@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chunk_recipes, hidden_markov, line_spread, minhash, mixing, pieces, projections, repeats, rules, token_counts, warc
+from tidewatch.llm import chunk_recipes, hidden_markov, line_spread, metric_trees, minhash, mixing, pieces, projections, repeats, rules, token_counts, warc
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def markov_query(spark: SparkSession, sf: str) -> DataFrame:
     return hidden_markov.score(table(spark, sf, "documents"))
 
 
+def codes_query(spark: SparkSession, sf: str) -> DataFrame:
+    return metric_trees.compress(table(spark, sf, "embeddings"))[0]
+
+
 def recipes_query(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_recipes.equal_texts(table(spark, sf, "documents")).drop("n_chunks", "n_bytes")
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": pieces_query,
     "op9_sorted_projections": vectors_query,
     "op10_hidden_markov": markov_query,
+    "op11_metric_trees": codes_query,
     "op12_chunk_recipes": recipes_query,
     "pipeline": pipeline_query,
 }
@@ -89,5 +94,6 @@ SQL: dict[str, str] = {
     "op2_poisson_mixing": mixing.MIX_SQL,
     "op5_warc_revisits": warc.WARC_SQL,
     "op6_line_spread": line_spread.LINES_SQL,
+    "op11_metric_trees": metric_trees.CODES_SQL,
     "op12_chunk_recipes": chunk_recipes.COPIES_SQL,
 }
