@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chunk_recipes, hidden_markov, line_spread, metric_trees, minhash, mixing, pieces, projections, repeats, rules, token_counts, warc
+from tidewatch.llm import chunk_recipes, hidden_markov, line_spread, metric_trees, minhash, mixing, pieces, projections, repeats, rules, subset_sums, token_counts, warc
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def recipes_query(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_recipes.equal_texts(table(spark, sf, "documents")).drop("n_chunks", "n_bytes")
 
 
+def negatives_query(spark: SparkSession, sf: str) -> DataFrame:
+    return subset_sums.hard_negatives(subset_sums.relabelled(table(spark, sf, "embeddings")))
+
+
 def pipeline_query(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hidden_markov": markov_query,
     "op11_metric_trees": codes_query,
     "op12_chunk_recipes": recipes_query,
+    "op13_subset_sums": negatives_query,
     "pipeline": pipeline_query,
 }
 
@@ -96,4 +101,5 @@ SQL: dict[str, str] = {
     "op6_line_spread": line_spread.LINES_SQL,
     "op11_metric_trees": metric_trees.CODES_SQL,
     "op12_chunk_recipes": chunk_recipes.COPIES_SQL,
+    "op13_subset_sums": subset_sums.NEGATIVES_SQL,
 }
