@@ -49,14 +49,16 @@ def hash_of(chunk: Column, bits: int) -> Column:
     return F.xxhash64(chunk) if bits >= 64 else F.xxhash64(chunk).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def clashing(docs: DataFrame, text_col: str, shortest: int, longest: int, bits: int) -> DataFrame:
+def clashing(docs: DataFrame, text_col: str, shortest: int, longest: int, bits: int) -> DataFrame | None:
     """(h, chunk, rank): the contents that share their hash with another, the most frequent of a hash
-    ranked 0.  Verification: every content of every hash is compared here, by its bytes."""
+    ranked 0; none if every hash has one content.  Verification: contents are grouped by their bytes,
+    and every hash that more than one of them has is found."""
     chunk = docs.select(F.explode(chunks_of(normalised(text_col), shortest, longest)).alias("chunk"))
     contents = chunk.select(hash_of(F.col("chunk"), bits).alias("h"), "chunk").groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    # one row per content; a hash with two of them is rare, so only hashes are counted again
-    contents = stored(contents.select("h", "n", "chunk"), "chunks")
-    several = contents.groupBy("h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("h")
+    contents = stored(contents, "chunks")  # one row per content
+    several = stored(contents.groupBy("h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("h"), "clashes")
+    if several.isEmpty():  # contents move again only where hashes clash
+        return None
     clash = contents.join(several, "h", "left_semi")
     place = Window.partitionBy("h").orderBy(F.desc("n"), "chunk")
     ranked = clash.select("h", "chunk", (F.row_number().over(place) - 1).alias("rank"))
@@ -75,7 +77,7 @@ def recipes(
     A missing text is an empty one and has an empty recipe; missing and repeated ids are kept.
     """
     clash = clashing(docs, text_col, shortest, longest, bits)
-    no_clash = clash.isEmpty()
+    no_clash = clash is None
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("_text"), *whole)
     text = F.col("_text")
