@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import detect, features, models, normalize, split, tolerance
+from tidewatch.operators import boosting, detect, features, models, normalize, split, tolerance
 from tidewatch.operators import evaluate as ev
 from tidewatch.operators.embedding import flat, matrix_windows
 from tidewatch.plans.roles import LABELLED_SQL, TYPE, USER, Query, labelled, rounded, stats_sql
@@ -88,6 +88,52 @@ def _model(name, cut=0.5, **kw):
     return build
 
 
+#: Depth-limited boosting with a penalty, rounds by folds with a short patience.
+DEEP = boosting.Settings(step=0.1, leaves=32, depth=5, min_rows=1, fraction=1.0, penalty=1.0, min_curvature=1.0)
+
+
+def folded(rows):
+    return split.contiguous_folds(rows.drop("split"), TYPE, 5)
+
+
+def boosting_rounds(spark, sf):
+    """Loss of every fold after every number of rounds, at the detector's step; five contiguous folds."""
+    train = feature_rows(spark, sf).where("split = 'train'")
+    return rounded(boosting.choose_rounds(folded(train), COLUMNS, "fold").table(spark), 6)
+
+
+def boosted_scores(spark, sf):
+    """Rounds chosen by folds, refit with the small positive weight, cut at the detector's score."""
+    rows = feature_rows(spark, sf)
+    train = rows.where("split = 'train'")
+    weighted = boosting.with_settings(positive_weight=models.POSITIVE_WEIGHT)
+    model, _ = boosting.fit_by_folds(folded(train), COLUMNS, "fold", final=weighted)
+    out = boosting.score(model, rows.where("split = 'test'").select(*SCORE_COLUMNS, *COLUMNS))
+    return rounded(out.select(*SCORE_COLUMNS, "score", F.when(F.col("score") > models.SCORE_CUT, 1).otherwise(0).alias("predicted")), 4)
+
+
+def early_boosting(spark, sf):
+    """The early form: 100 rounds, raw probabilities."""
+    rows = feature_rows(spark, sf)
+    model = boosting.fit(rows.where("split = 'train'"), COLUMNS, rounds=100)
+    return rounded(boosting.score(model, rows.where("split = 'test'")).select(*SCORE_COLUMNS, "score"), 4)
+
+
+def deep_boosting(spark, sf):
+    """Depth-5 trees, rounds chosen by folds (500 at most, patience 10), rounded probabilities."""
+    rows = feature_rows(spark, sf)
+    model, rounds = boosting.fit_by_folds(folded(rows.where("split = 'train'")), COLUMNS, "fold", settings=DEEP, most=500, patience=10)
+    out = boosting.score(model, rows.where("split = 'test'").select(*SCORE_COLUMNS, *COLUMNS))
+    return rounded(out.select(*SCORE_COLUMNS, "score", F.round("score").cast("int").alias("predicted"), F.lit(rounds.chosen).alias("rounds")), 4)
+
+
+def gain_importances(spark, sf):
+    """Share of the total gain by feature, largest first."""
+    train = feature_rows(spark, sf).where("split = 'train'")
+    model = boosting.fit(train, COLUMNS, settings=DEEP, rounds=5)
+    return rounded(spark.createDataFrame(model.importances(), "feature string, importance double").orderBy(F.desc("importance"), "feature"), 4)
+
+
 def single_feature(spark, sf):
     """Training on the value alone: all other columns are left out."""
     rows = split.ordered_split(labelled(spark, sf).select("event_id", "event_type", "ts", "value", "is_anomaly"), TYPE)
@@ -212,8 +258,12 @@ QUERIES = [
     Query("cluster_detection", cluster_detection),
     Query("cluster_detection_evaluation", cluster_evaluation),
     Query("cross_dataset_detection", cross_dataset),
-    Query("boosted_trees_scores", _model("boosted_trees", models.SCORE_CUT, balance="down", rounds=10)),
-    Query("random_forest_scores", _model("random_forest", balance="weight")),
+    Query("boosting_rounds", boosting_rounds),
+    Query("boosted_trees_scores", boosted_scores),
+    Query("early_boosting_scores", early_boosting),
+    Query("deep_boosting_scores", deep_boosting),
+    Query("gain_importances", gain_importances),
+    Query("random_forest_scores", _model("random_forest", balance="weight", trees=1000)),
     Query("single_feature_ridge", single_feature, SINGLE_SQL),
     Query("ridge_scores", _model("ridge", 0.0)),
     Query("ridge_weighted_scores", _model("ridge", 0.0, balance="weight")),
