@@ -21,11 +21,12 @@ def poisson_inverse(mean, u):
     return k
 
 
-def copies(doc_id, rate, seed=1):
+def copies(doc_id, rate, seed=1, text=""):
+    who = hashlib.md5((text or "").encode()).hexdigest() if doc_id is None else doc_id
     parts = max(math.ceil(rate / 16), 1)
     total = 0
     for i in range(1, parts + 1):
-        u = (int(hashlib.md5(f"{seed}|{'' if doc_id is None else doc_id}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        u = (int(hashlib.md5(f"{seed}|{who}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         total += poisson_inverse(rate / parts, u)
     return total
 
@@ -44,7 +45,7 @@ def test_mixing_counts(documents):
     rate = {s: total / (len(size) * n) if n else 1.0 for s, n in size.items()}
     want = Counter()
     for i, t, s in rows:
-        want[(i, t, s)] += copies(i, rate[s])
+        want[(i, t, s)] += copies(i, rate[s], text=t)
     out = mixing.mix(documents(rows)).collect()
     assert Counter((r.doc_id, r.text, r.source) for r in out) == +want
     assert max(rate.values()) > 16  # some draws have parts
@@ -55,6 +56,20 @@ def test_mixing_counts(documents):
     assert [r.doc_id for r in out] != sorted((r.doc_id for r in out), key=lambda i: -1 if i is None else i)
 
 
+def test_rows_without_an_id_are_spread(spark, documents):
+    """Hot missing ids: own draws, and no partition with most of the rows."""
+    rows = [(None, f"text {i}", "s") for i in range(2000)] + [(7, f"other {i}", "t") for i in range(1000)]
+    mixed = mixing.mix(documents(rows))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small partitions are put together
+    try:
+        per_part = Counter(r[0] for r in mixed.select(F.spark_partition_id()).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(per_part.values()) < 0.6 * sum(per_part.values())
+    drawn = Counter(r.text for r in mixed.collect() if r.doc_id is None)
+    assert len({drawn.get(f"text {i}", 0) for i in range(2000)}) > 1
+
+
 def test_mixing_weights_and_salts(documents, monkeypatch):
     df = documents(mix_rows())
     plain = sorted(map(str, mixing.mix(df, {"hot": 3.0, "s1": 1.0}).collect()))
@@ -64,15 +79,22 @@ def test_mixing_weights_and_salts(documents, monkeypatch):
     assert mixing.mix(documents([])).collect() == []
 
 
-def brute_lines(rows, min_sites, min_chars):
-    sites, around = defaultdict(set), defaultdict(set)
+def brute_lines(rows, min_sites, min_chars=0):
+    """Sites of every line that is not blank, equal whole texts on their first site only."""
+    site_of = {}
     for _, t, s in rows:
-        lines = [x.strip(" ") for x in (t or "").split("\n")]
-        for i, x in enumerate(lines):
-            if len(x) >= min_chars:
-                sites[x].add(s)
-                around[x].add((lines[i - 1] if i else None, lines[i + 1] if i + 1 < len(lines) else None))
-    bad = {x for x in sites if len(sites[x]) >= min_sites and len(around[x]) >= min_sites}
+        if t is not None:
+            site_of[t] = min(s or "\x01", site_of.get(t, s or "\x01"))
+    sites = defaultdict(set)
+    for t, s in site_of.items():
+        for x in t.split("\n"):
+            if x.strip(" \t\n\x0b\x0c\r"):
+                sites[x.strip(" ")].add(s)
+
+    def need(x):
+        return min_sites + math.ceil(max(min_chars - len(x), 0) * min_sites / max(min_chars, 1))
+
+    bad = {x for x in sites if len(sites[x]) >= need(x)}
     out = []
     for d, t, _ in rows:
         lines = [] if t is None else t.split("\n")
@@ -97,17 +119,31 @@ def line_rows():
     return rows + [(2000, None, "hot"), (2001, "", "hot"), (2002, "All rights reserved by all of us", None), (None, "All rights reserved by all of us\nrest", "x"), (5, rows[5][1], rows[5][2])]
 
 
+def cleaned(df, *args):
+    return sorted(((str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in line_spread.remove_spread_lines(df, *args).collect()), key=str)
+
+
 def test_line_spread(documents):
     rows = line_rows()
-    for min_sites, min_chars in ((10, 20), (7, 20), (2, 1)):
-        out = line_spread.remove_spread_lines(documents(rows), min_sites, min_chars).collect()
-        assert sorted(((str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in out), key=str) == brute_lines(rows, min_sites, min_chars)
+    for min_sites, min_chars in ((10, 0), (7, 20), (2, 0), (11, 40)):
+        assert cleaned(documents(rows), min_sites, min_chars) == brute_lines(rows, min_sites, min_chars)
     assert line_spread.remove_spread_lines(documents([])).collect() == []
 
 
 def test_copies_keep_their_lines(documents):
     out = {r.doc_id: r.n_removed for r in line_spread.remove_spread_lines(documents(line_rows())).collect()}
-    assert all(out[1000 + i] == 0 for i in range(14)) and out[13] == 1
+    assert all(out[1000 + i] == 0 for i in range(14)) and out[13] > 0
+
+
+def test_whole_blocks_and_short_lines_go(documents):
+    """A notice of four lines on 12 sites, a short menu entry among them; rows without an id apart."""
+    block = "Home page of the site\nMenu\n  Terms of use apply here\n\nAll rights reserved"
+    rows = [(i if i % 5 else None, f"own {i} text\n{block}\nmore of {i}", f"s{i % 12}") for i in range(36)]
+    rows += [(100 + i, f"nine sites only\nown {i}", f"s{i}") for i in range(9)]
+    got = cleaned(documents(rows))
+    assert got == brute_lines(rows, 10)
+    assert all(r[3] == 4 and "\n\n" in r[1] for r in got if r[1].startswith("own") and "text" in r[1])
+    assert all(r[3] == 0 for r in got if r[1].startswith("nine"))
 
 
 PAGES = "page_id long, url string, html string, n string, digest string"

@@ -1,15 +1,13 @@
 """Cross-site boilerplate lines by their distinct-site spread.
 
-A line is boilerplate if it stands on at least ``min_sites`` distinct sites and in at least as many
-distinct surroundings (the lines before and after it), which is what ``LINES_SQL`` states.  The second
-test spares the lines of copied documents, which bring the same neighbours along, but also the inner
-lines of a menu or notice of three or more lines.  ``by="texts"`` counts distinct whole texts instead
-of surroundings: equal copies are one text, and every line of a block goes.  ``short=True`` looks at every line that is not blank
-and asks more of one under ``min_chars``, rising evenly to twice ``min_sites``.
-
-Both spreads are HyperLogLog sketches per line hash, merged by aggregation (map-side first, so a line
-of a third of all documents costs one sketch per task).  Estimates inside a band around the threshold
-are replaced by exact distinct counts over the rows of those lines only.  All steps are DataFrame
+A line that is not blank is boilerplate if it stands on at least ``min_sites`` distinct sites.  Copies
+of a document are not spread: equal whole texts count once, on the first of their sites, so the lines
+of an article that many sites copied are left to the removal of duplicates.  ``min_chars`` asks more of lines
+that are shorter (chance sentences like "Of."), rising evenly to twice ``min_sites``; 0 asks all the same.
+
+The spread is a HyperLogLog sketch of sites per line hash, merged by aggregation (map-side first, so a
+line of a third of all documents costs one sketch per task).  Estimates inside a band around the
+threshold are replaced by exact distinct counts over the rows of those lines only.  All steps are DataFrame
 expressions; a line is known by the md5 of its text without outer spaces.
 """
 
@@ -21,11 +19,11 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import stored
 
 MIN_SITES = 10
-#: Shorter lines ("Of.") say little: they are left alone, or asked for more sites (``short``).
-MIN_CHARS = 20
 LG_K = 10
 #: Half the width of the band, relative: over six standard errors (1.04 / sqrt(2 ** LG_K)).
 BAND = 0.25
+#: Stands for a missing site; sorts before every name.
+NO_SITE = "\x01"
 
 
 def key_of(line: Column) -> Column:
@@ -36,9 +34,8 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def looked_at(line: Column, min_chars: int, short: bool) -> Column:
-    """Whether a line is looked at: long enough, or with ``short`` any that is not blank."""
-    return F.length(F.trim(line)) >= min_chars if not short else line.rlike("\\S")
+def not_blank(line: Column) -> Column:
+    return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
 def needed(line: Column, min_sites: int, min_chars: int) -> Column:
@@ -47,54 +44,49 @@ def needed(line: Column, min_sites: int, min_chars: int) -> Column:
     return F.lit(min_sites) + F.ceil(missing * min_sites / max(min_chars, 1)).cast("int")
 
 
-def line_rows(docs: DataFrame, site_col: str, text_col: str, min_chars: int, by: str = "surroundings", short: bool = False, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, need, site, around): a row per line that is looked at; rows without a site are one site.
-    ``around`` is the hash of the lines before and after, or of the whole text."""
-    if by not in ("surroundings", "texts"):
-        raise ValueError(f"by is surroundings or texts, not {by}")
-    at = lambda a, i: F.coalesce(F.trim(F.get(a, i)), F.lit("\n"))
-    site = F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0"))).alias("site")
-    if by == "texts":
-        parts = docs.select(site, F.xxhash64(F.col(text_col)).alias("around"), lines_of(F.col(text_col)).alias("l"))
-        rows = parts.select("site", "around", F.explode("l").alias("line")).where(looked_at(F.col("line"), min_chars, short))
-        return rows.select(key_of(F.col("line")).alias("line"), needed(F.col("line"), min_sites, min_chars).alias("need"), "site", "around")
-    parts = docs.select(site, lines_of(F.col(text_col)).alias("l"))
-    rows = parts.select("site", "l", F.posexplode("l").alias("i", "line")).where(looked_at(F.col("line"), min_chars, short))
-    return rows.select(key_of(F.col("line")).alias("line"), needed(F.col("line"), min_sites, min_chars).alias("need"), "site", F.xxhash64(at(F.col("l"), F.col("i") - 1), at(F.col("l"), F.col("i") + 1)).alias("around"))
+def line_rows(docs: DataFrame, site_col: str, text_col: str, min_sites: int, min_chars: int) -> DataFrame:
+    """(line, need, text, site): a row per line that is not blank; rows without a site are one site.
+    ``text`` is the digest of the whole text."""
+    site = F.coalesce(F.col(site_col).cast("string"), F.lit(NO_SITE)).alias("site")
+    parts = docs.select(site, F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text"), F.explode(lines_of(F.col(text_col))).alias("line"))
+    return parts.where(not_blank(F.col("line"))).select(key_of(F.col("line")).alias("line"), needed(F.col("line"), min_sites, min_chars).alias("need"), "text", "site")
 
 
-def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, site_col: str = "source", text_col: str = "text", by: str = "surroundings", short: bool = False) -> DataFrame:
+def collapsed(rows: DataFrame) -> DataFrame:
+    """(line, need, site): a row per line and different text, with the first site of the text."""
+    return rows.groupBy("line", "text").agg(F.max("need").alias("need"), F.min("site").alias("site")).drop("text")
+
+
+def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 0, site_col: str = "source", text_col: str = "text") -> DataFrame:
     """(line): hashes of the boilerplate lines of ``docs``."""
-    rows = line_rows(docs, site_col, text_col, min_chars, by, short, min_sites)
-    sketched = rows.groupBy("line").agg(F.max("need").alias("need"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("a"), F.hll_sketch_agg("around", F.lit(LG_K)).alias("b"))
-    least = F.least(F.hll_sketch_estimate("a"), F.hll_sketch_estimate("b"))
-    judged = stored(sketched.select("line", "need", least.alias("n")).where(F.col("n") >= F.col("need") * (1 - BAND)), "spread")
+    rows = line_rows(docs, site_col, text_col, min_sites, min_chars)
+    sketched = collapsed(rows).groupBy("line").agg(F.max("need").alias("need"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"))
+    judged = stored(sketched.select("line", "need", F.hll_sketch_estimate("s").alias("n")).where(F.col("n") >= F.col("need") * (1 - BAND)), "spread")
     sure = judged.where(F.col("n") > F.col("need") * (1 + BAND)).select("line")
     near = judged.where(F.col("n") <= F.col("need") * (1 + BAND)).select("line")
-    # at most one row per line, site and surroundings; a line near the threshold has few of one kind
-    exact = rows.join(near, "line", "left_semi").groupBy("line").agg(F.max("need").alias("need"), F.countDistinct("site").alias("a"), F.countDistinct("around").alias("b"))
-    return sure.unionAll(exact.where((F.col("a") >= F.col("need")) & (F.col("b") >= F.col("need"))).select("line"))
+    exact = collapsed(rows.join(near, "line", "left_semi")).groupBy("line").agg(F.max("need").alias("need"), F.countDistinct("site").alias("n"))
+    return sure.unionAll(exact.where(F.col("n") >= F.col("need")).select("line"))
 
 
 def remove_spread_lines(
-    docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text",
-    by: str = "surroundings", short: bool = False,
+    docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 0, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and n_lines and n_removed.
 
-    Other lines keep their order and their line breaks.  A missing text stays missing (no lines); a
-    text of boilerplate only becomes empty; every row stays.  Rows that share an id, a missing one
-    too, are each cleaned.  Columns of ``docs`` named like the new ones are replaced.
+    Other lines, blank ones too, keep their order and their line breaks.  A missing text stays missing (no
+    lines); a text of boilerplate only becomes empty; every row stays.  Rows that share an id, a missing
+    one too, are each cleaned.  Columns of ``docs`` named like the new ones are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    bad = stored(spread_lines(docs, min_sites, min_chars, site_col, text_col, by, short), "boilerplate")
-    # which lines each document loses: hashes, so rows that share an id may share the list
-    mine = rows.select(F.col(id_col).alias("_id"), F.explode(lines_of(F.col(text_col))).alias("_l")).where(looked_at(F.col("_l"), min_chars, short))
-    lost = mine.select("_id", key_of(F.col("_l")).alias("line")).join(bad, "line").groupBy("_id").agg(F.collect_set("line").alias("_lost"))
-    joined = rows.join(lost, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    bad = stored(spread_lines(docs, min_sites, min_chars, site_col, text_col), "boilerplate")
+    # which lines each document loses, by id and text, so that rows without an id don't meet in one task
+    digest = F.xxhash64(text_col)
+    mine = rows.select(F.col(id_col).alias("_id"), digest.alias("_text"), F.explode(lines_of(F.col(text_col))).alias("_l")).where(not_blank(F.col("_l")))
+    lost = mine.select("_id", "_text", key_of(F.col("_l")).alias("line")).join(bad, "line").groupBy("_id", "_text").agg(F.collect_set("line").alias("_lost"))
+    joined = rows.withColumn("_own", digest).join(lost, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text")), "left")
     all_lines = lines_of(F.col(text_col))
-    left = F.when(F.col("_lost").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~(looked_at(x, min_chars, short) & F.array_contains("_lost", key_of(x)))))
+    left = F.when(F.col("_lost").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~(not_blank(x) & F.array_contains("_lost", key_of(x)))))
     out = joined.withColumn("_left", left)
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long")
     text = F.when(F.col(text_col).isNull() | F.col("_lost").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))
@@ -103,14 +95,12 @@ def remove_spread_lines(
 
 
 LINES_SQL = f"""
-WITH l AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-t AS (SELECT doc_id, source, i, line, trim(line, ' ') AS k FROM l),
-n AS (SELECT *, lag(k) OVER w AS before, lead(k) OVER w AS behind FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-bad AS (
-  SELECT k FROM n WHERE length(k) >= {MIN_CHARS} GROUP BY k
-  HAVING count(DISTINCT coalesce(source, chr(1))) >= {MIN_SITES} AND count(DISTINCT coalesce(before, chr(2)) || chr(3) || coalesce(behind, chr(2))) >= {MIN_SITES}),
-m AS (SELECT n.doc_id, n.i, n.line, b.k IS NOT NULL AS gone FROM n LEFT JOIN bad b ON n.k = b.k)
+WITH t AS (SELECT text, min(coalesce(source, chr(1))) AS site FROM documents WHERE text IS NOT NULL GROUP BY text),
+s AS (SELECT site, trim(unnest(string_split(text, chr(10))), ' ') AS k FROM t),
+bad AS (SELECT k FROM s WHERE regexp_matches(k, '[^\\x20\\x09-\\x0D]') GROUP BY k HAVING count(DISTINCT site) >= {MIN_SITES}),
+l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+m AS (SELECT l.doc_id, l.i, l.line, b.k IS NOT NULL AS gone FROM l LEFT JOIN bad b ON trim(l.line, ' ') = b.k)
 SELECT d.doc_id, coalesce(g.n_lines, 0)::BIGINT AS n_lines, coalesce(g.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id) g

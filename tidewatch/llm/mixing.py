@@ -61,8 +61,8 @@ def mix(
     """``docs`` with every row 0, 1 or more times, in random order, and the columns ``copy`` (1, 2, ...)
     and ``rate``; a source's characters then make up its target weight in the mean.
 
-    Rows without a source form a source of their own; missing texts have size 0; a missing id
-    draws as an empty one; repeated rows draw the same count.  Columns of ``docs`` named like the
+    Rows without a source form a source of their own; missing texts have size 0; a row without an
+    id draws by the digest of its text; rows that repeat an id draw the same count.  Columns of ``docs`` named like the
     new ones are replaced.
     """
     rates = source_rates(docs, weights, source_col, F.coalesce(F.length(text_col), F.lit(0)))
@@ -73,16 +73,16 @@ def mix(
         joined = rows.join(F.broadcast(right), F.col(source_col).eqNullSafe(F.col("_source")))
     else:  # a hot source is dealt to SALTS tasks
         dealt = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = rows.withColumn("_s", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        salted = rows.withColumn("_s", F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int"))
         joined = salted.join(dealt, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_s") == F.col("_salt"))).drop("_s", "_salt")
-    who = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    who = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     n_parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
     drawn = F.aggregate(
         F.sequence(F.lit(1), n_parts), F.lit(0),
         lambda total, i: total + poisson(F.col("rate") / n_parts, uniform(F.lit(str(seed)), who, i.cast("string"))),
     )
     copies = joined.withColumn("_n", drawn).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    key = F.md5(F.concat_ws("|", F.lit(f"order {seed}"), who, F.col("copy").cast("string")).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit(f"order {seed}"), who, F.col("copy").cast("string"), F.xxhash64(source_col, text_col).cast("string")).cast("binary"))
     return copies.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key").select(*kept, "copy", "rate")
 
 
@@ -98,7 +98,7 @@ terms(source, mean, k, p, s) AS (
   SELECT source, mean, k + 1, p * mean / (k + 1), s + p * mean / (k + 1) FROM terms WHERE k < 80),
 draws AS (
   SELECT d.doc_id, d.source, r.rate, i.part, r.mean,
-         (CAST('0x' || substr(md5('1|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || CAST(i.part AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+         (CAST('0x' || substr(md5('1|' || coalesce(CAST(d.doc_id AS VARCHAR), md5(coalesce(d.text, ''))) || '|' || CAST(i.part AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents d JOIN parts r ON d.source IS NOT DISTINCT FROM r.source, LATERAL (SELECT unnest(range(1, r.n_parts + 1)) AS part) i),
 counts AS (
   SELECT w.doc_id, w.part, count(*) FILTER (WHERE t.s < w.u) AS n
