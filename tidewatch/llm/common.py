@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 #: Rows of a side that may be broadcast, checked by a count before the join is built.
 BROADCAST_ROWS = 20_000
+SALTS = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -152,8 +153,14 @@ def in_blocks(df: DataFrame, group: str, member: str, most: int) -> DataFrame:
     """Deal large groups to pairs of blocks: columns ``left`` and ``right`` (block numbers, left <=
     right) and ``side`` (the row's own block).  Every two members meet in exactly one pair of blocks
     (those of one block where left = right); a group of at most ``most`` rows stays whole."""
-    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_n")).where("_n > 1")
-    dealt = df.join(sizes, F.col(group) == F.col("_g"), "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    sizes = stored(df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_n")).where("_n > 1"), "large")
+    if sizes.count() <= BROADCAST_ROWS:  # large groups only: rows are dealt where they are, before any group meets
+        dealt = df.join(F.broadcast(sizes), F.col(group) == F.col("_g"), "left")
+    else:  # every group to SALTS tasks
+        salted = sizes.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = df.withColumn("_s", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int"))
+        dealt = dealt.join(salted, (F.col(group) == F.col("_g")) & (F.col("_s") == F.col("_t")), "left").drop("_s", "_t")
+    dealt = dealt.withColumn("_n", F.coalesce("_n", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64(F.lit("block"), member), F.col("_n")).cast("int"))
     other = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return other.withColumn("left", F.least("side", "_o")).withColumn("right", F.greatest("side", "_o")).drop("_g", "_n", "_o")
