@@ -56,6 +56,22 @@ def test_stages_against_brute_force(spark):
     assert Counter(r.doc_id for r in five.collect()) == +times
 
 
+def test_lines_stage_on_a_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)["lines"](spark, docs, SF)
+    want = brute_lines([(r.doc_id, r.text, r.source) for r in docs.collect()], 10, 20)
+    assert sum(w[3] for w in want) > 100
+    assert sorted(((str(r.doc_id), r.text) for r in out.collect()), key=str) == sorted(((i, t) for i, t, _, _ in want), key=str)
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark, documents):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(5, text), (5, text), (None, text), (3, text + " end"), (None, other), (None, other), (7, "unlike anything else " + other[:90]), (8, None), (8, None)]
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, documents(rows, clash=False), SF)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, text + " end"), (None, other), (7, "unlike anything else " + other[:90]), (8, None), (8, None)], key=str)
+
+
 def test_empty_table(spark, documents):
     docs = documents([], clash=False)
     for _, stage in corpus_pipeline.STAGES:
@@ -68,11 +84,14 @@ LLM = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
 
 @pytest.mark.parametrize("name", LLM)
 def test_query_returns_its_whole_table(spark, name):
-    table, key = {"op5_warc_revisits": ("pages", "page_id"), "op9_sorted_projections": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
+    own = {"op5_warc_revisits": ("pages", "page_id"), "op9_sorted_projections": ("embeddings", "vec_id"), "op11_metric_trees": ("embeddings", "vec_id"), "op13_subset_sums": ("embeddings", "anchor_id")}
+    table, key = own.get(name, ("documents", "doc_id"))
     out = entry.queries()[name](spark, SF)
     ids = [r[0] for r in out.select(key).collect()]
     all_ids = [r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()]
-    if name == "op2_poisson_mixing":
+    if name == "op13_subset_sums":
+        assert set(ids) == {i for i in all_ids if i % 100 == 0}
+    elif name == "op2_poisson_mixing":
         assert set(ids) <= set(all_ids) and len(ids) > 0
     else:
         assert sorted(ids) == sorted(all_ids)
