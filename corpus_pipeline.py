@@ -1,10 +1,11 @@
 """Preparing a training corpus: five stages over ``documents``, each written before the next reads it.
 
 1. quality: documents that the learned rules (or the base rules) reject go.
-2. lines: boilerplate lines that stand on many sites in many different texts are taken out
-   (short ones must stand on more).
+2. lines: boilerplate lines that stand on many sites are taken out (short ones must stand on more);
+   equal whole texts count once.
 3. near_duplicates: of each group of near-duplicates (five-word shingles, similarity 0.8) the
-   document with the smallest id stays; texts without words stay.
+   document with the smallest id stays, one row of it if the id repeats, one without an id only if none
+   has one; texts without words stay.
 4. mixing: every source is repeated or thinned to the same share of the characters, in random order.
 5. pieces: every text is encoded and decoded with the SentencePiece model.
 
@@ -31,12 +32,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_spread.remove_spread_lines(docs, by="texts", short=True).select(*docs.columns)
+    return line_spread.remove_spread_lines(docs, min_chars=20).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows are known by a number of their own, so repeated and missing ids are told apart
+    numbered = stored(docs.select(*docs.columns, F.monotonically_increasing_id().alias("_row")), "numbered")
+    found = minhash.near_duplicates(numbered, id_col="_row").select("_row", "component_id")
+    ranked = found.join(numbered.select("_row", "doc_id"), "_row")
+    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))
+    stay = ranked.groupBy("component_id").agg(first.alias("_row")).select("_row")
+    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
