@@ -206,10 +206,96 @@ def test_stream_rolling_features_equal_batch(spark, tmp_path):
                 .option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
             )
             q.awaitTermination(180)
-        got = spark.read.parquet(out).toPandas().sort_values("event_id").reset_index(drop=True)
+        got = jobs.latest_features(spark.read.parquet(out)).toPandas().sort_values("event_id").reset_index(drop=True)
     finally:
         spark.conf.set(conf, before)
     want = features.cluster_features(rows, spec).toPandas().sort_values("event_id").reset_index(drop=True)
     names = [c for c in got.columns if c.startswith("value_w")]
     assert len(got) == len(want)
     assert np.allclose(got[names].to_numpy(float), want[names].to_numpy(float), atol=1e-6)
+
+
+@pytest.mark.parametrize("files,per_batch", [(1, 1), (50, 7)])
+def test_late_rows_over_several_batches(spark, tmp_path, files, per_batch):
+    """Rows dealt to files without regard to time: the last versions equal batch."""
+    pdf = make_series(4, sizes=(260, 40, 1), zeros=False)
+    rows = spark.createDataFrame(pdf).select(
+        F.col("s").alias("event_type"), F.timestamp_seconds("t").alias("ts"), F.col("i").cast("long").alias("event_id"), "value"
+    )
+    src = str(tmp_path / "in")
+    rows.repartition(files, F.xxhash64("event_id")).write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(src)
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        emitted = jobs.rolling_features(stream, "event_type", segment=60)
+        jobs.append_to_files(emitted, str(tmp_path / "out"), str(tmp_path / "cp"), "parquet").awaitTermination(240)
+    finally:
+        spark.conf.set(conf, before)
+    got = jobs.latest_features(spark.read.parquet(str(tmp_path / "out"))).toPandas().sort_values("event_id").reset_index(drop=True)
+    want = features.cluster_features(rows, SeriesSpec(("event_type",), ("ts", "event_id"))).toPandas().sort_values("event_id").reset_index(drop=True)
+    names = [c for c in got.columns if c.startswith("value_w")]
+    assert got["event_id"].tolist() == want["event_id"].tolist()
+    assert np.allclose(got[names].to_numpy(float), want[names].to_numpy(float), atol=1e-6)
+
+
+class Cell:
+    """A state variable in memory."""
+
+    def __init__(self):
+        self.held, self.most = {}, 0
+
+    exists = lambda self: () in self.held
+    get = lambda self: self.held[()]
+    getValue = lambda self, k: self.held[k]
+
+    def update(self, v):
+        self.held[()] = v
+
+    def updateValue(self, k, v):
+        self.held[k] = v
+        self.most = max(self.most, len(v[0]))
+
+    def removeKey(self, k):
+        del self.held[k]
+
+
+class Handle:
+    getValueState = lambda self, name, schema: Cell()
+    getMapState = lambda self, name, key, value: Cell()
+
+
+@pytest.mark.parametrize("seed,chunk", [(1, 1), (2, 13), (3, 400), (4, 1000)])
+def test_rolling_state_in_any_order(seed, chunk):
+    rng = np.random.default_rng(seed)
+    n = 900
+    ts = np.sort(rng.integers(0, 500, n)) * 1_000_000  # ties in time
+    value = rng.standard_normal(n).round(2)
+    value[rng.random(n) < 0.02] = np.nan
+    want = jobs.rolling_block(value, (5, 25, 50))
+    state = jobs.RollingState((5, 25, 50), segment=70)
+    state.init(Handle())
+    order = rng.permutation(n) if seed % 2 else np.argsort(ts + rng.integers(0, 30_000_000, n), kind="stable")
+    last = {}
+    for a in range(0, n, chunk):
+        part = order[a : a + chunk]
+        frame = pd.DataFrame({"ts": ts[part].astype("datetime64[us]"), "event_id": part, "value": value[part]})
+        for out in state.handleInputRows(("k",), iter([frame]), None):
+            for r in out.to_dict("records"):
+                assert r["version"] > last.get(r["event_id"], {"version": 0})["version"]
+                last[r["event_id"]] = r
+    assert len(last) == n and state.rows.most <= 140 + min(chunk, n)
+    assert max(len(v[0]) for v in state.rows.held.values()) <= 140
+    for name, v in want.items():
+        assert np.allclose([last[i][name] for i in range(n)], v, atol=1e-9, equal_nan=True), name
+
+
+def test_rolling_state_is_bounded_with_keep():
+    state = jobs.RollingState((5,), segment=50, keep=100)
+    state.init(Handle())
+    for a in range(0, 2_000, 40):
+        frame = pd.DataFrame({"ts": np.arange(a, a + 40).astype("datetime64[us]"), "event_id": np.arange(a, a + 40), "value": np.arange(a, a + 40.0)})
+        [out] = state.handleInputRows(("k",), iter([frame]), None)
+        assert out["value_w5_mean"].iloc[-1] == a + 37
+    assert sum(len(v[0]) for v in state.rows.held.values()) <= 400

@@ -106,12 +106,16 @@ SELECT event_id, value, cluster, round_even(distance, 6) AS distance, CASE WHEN
 
 
 def stream_features(spark, sf):
+    """The events dealt to five files without regard to time, one file per micro-batch."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, ROCKS)  # several state variables per key need it
     try:
-        rows = event_stream(spark, sf).select("event_type", "ts", "event_id", "value")
-        return rounded(finished(jobs.rolling_features(rows, "event_type", fr.WINDOWS)).drop("ts", "series"))
+        folder = new_folder(spark)
+        dealt = events(spark, sf).select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+        dealt.repartition(5, F.xxhash64("event_id")).write.parquet(folder)
+        rows = spark.readStream.schema(dealt.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        return rounded(jobs.latest_features(finished(jobs.rolling_features(rows, "event_type", fr.WINDOWS))).drop("ts", "series"))
     finally:
         spark.conf.set(provider, before)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -87,28 +88,93 @@ def score_stream(df: DataFrame, detector: ClusterDetector) -> DataFrame:
 
 
 class RollingState(StatefulProcessor):
-    """Last values of a series; emits rolling mean, std, kurt, zscore and entropy per row.
-
-    Rows of one micro-batch are taken in time order; the state holds at most the longest window.
+    """Keeps a series in order; emits rolling mean, std, kurt, zscore and entropy per row.
+
+    Rows may come in any order over any number of micro-batches.  The state holds the series as sorted
+    segments of about ``segment`` rows and an index of them, so a row is put in its place by
+    reading one segment.  A late row changes the windows of the rows behind it: those are emitted again,
+    with a higher ``version`` (``latest_features`` keeps the last).  A micro-batch is taken in the
+    bounded chunks it arrives in.  With ``keep`` only about that many rows of a series (the newest) stay in
+    the state; what a later row can't see any more is then missing from its windows.
     """
 
-    def __init__(self, windows: tuple[int, ...] = (5, 25, 50)):
-        self.windows = windows
+    def __init__(self, windows: tuple[int, ...] = (5, 25, 50), segment: int = 1_000, keep: int | None = None):
+        self.windows, self.segment, self.keep = windows, max(segment, max(windows)), keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "values array<double>")
+        self.index = handle.getValueState("index", "version long, next long, ids array<long>, ts array<long>, event array<long>")
+        self.rows = handle.getMapState("rows", "segment long", "ts array<long>, event array<long>, value array<double>")
+
+    def load(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ts, event, value = self.rows.getValue((number,))
+        return np.array(ts, np.int64), np.array(event, np.int64), np.array([np.nan if v is None else v for v in value], float)
+
+    def save(self, number: int, ts: np.ndarray, event: np.ndarray, value: np.ndarray) -> None:
+        self.rows.updateValue((number,), (ts.tolist(), event.tolist(), value.tolist()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        past = np.array(self.recent.get()[0] if self.recent.exists() else [], dtype=float)
+        for chunk in rows:
+            if len(chunk):
+                yield from self.taken(key[0], chunk)
+
+    def taken(self, series: str, chunk: pd.DataFrame) -> Iterator[pd.DataFrame]:
         longest = max(self.windows)
-        values = np.concatenate([past, batch["value"].to_numpy(float)])
-        self.recent.update((values[-longest:].tolist(),))
-        out = {"series": [key[0]] * len(batch), "event_id": batch["event_id"].to_numpy(), "ts": batch["ts"].to_numpy()}
-        stats = rolling_block(values, self.windows)
-        out.update({k: v[len(past) :] for k, v in stats.items()})
-        # rows whose window is not full yet within the state use shorter windows, as in batch
-        yield pd.DataFrame(out)
+        ts, event = chunk["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), chunk["event_id"].to_numpy(np.int64)
+        order = np.lexsort((event, ts))
+        ts, event, value = ts[order], event[order], chunk["value"].to_numpy(float)[order]
+        version, new, ids, first_ts, first_event = (list(v) if isinstance(v, (list, tuple, np.ndarray)) else v for v in (self.index.get() if self.index.exists() else (0, 0, [], [], [])))
+        # the segment of every row: the last that starts at or before it
+        starts = list(zip(first_ts, first_event, strict=True))
+        place = np.array([max(0, bisect.bisect_right(starts, k) - 1) for k in zip(ts.tolist(), event.tolist(), strict=True)])
+        if not ids:
+            ids, new = [0], 1
+            self.save(0, *(np.zeros(0, t) for t in (np.int64, np.int64, float)))
+        held: dict[int, tuple] = {}
+        asked: dict[int, tuple[int, int]] = {}  # the rows to emit, by segment
+        for i in np.unique(place).tolist():
+            mine = place == i
+            have = self.load(ids[i])
+            merged = [np.concatenate([x, y[mine]]) for x, y in zip(have, (ts, event, value), strict=True)]
+            by = np.lexsort((merged[1], merged[0]))
+            held[i] = tuple(x[by] for x in merged)
+            fresh = np.flatnonzero(by >= len(have[0]))
+            asked[i] = int(fresh[0]), int(fresh[-1]) + longest
+        for i in range(len(ids)):  # windows that reach into the next segment
+            if i in asked:
+                if i not in held:
+                    held[i] = self.load(ids[i])
+                lo, hi = asked[i]
+                if (over := hi - len(held[i][0])) > 0 and i + 1 < len(ids):
+                    a, b = asked.get(i + 1, (0, 0))
+                    asked[i + 1] = 0, max(b, over)
+        version += 1
+        for i in sorted(asked):
+            lo, hi = asked[i]
+            t, e, v = held[i]
+            hi = min(hi, len(t))
+            if lo < hi:
+                past, j = v[max(0, lo - longest + 1) : lo], i - 1
+                while len(past) < longest - 1 and j >= 0:
+                    earlier = (held[j] if j in held else self.load(ids[j]))[2]
+                    past = np.concatenate([earlier[max(0, len(earlier) - (longest - 1 - len(past))) :], past])
+                    j -= 1
+                stats = rolling_block(np.concatenate([past, v[lo:hi]]), self.windows)
+                out = {"series": [series] * (hi - lo), "event_id": e[lo:hi], "ts": t[lo:hi].astype("datetime64[us]"), "version": [version] * (hi - lo)}
+                yield pd.DataFrame(out | {k: x[len(past) :] for k, x in stats.items()})
+        # store, in segments of bounded size
+        table = list(zip(ids, first_ts or [0], first_event or [0], strict=True))
+        for i in sorted(held, reverse=True):
+            t, e, v = held[i]
+            parts = np.array_split(np.arange(len(t)), max(1, len(t) // self.segment)) if len(t) > 2 * self.segment else [np.arange(len(t))]
+            numbers = [ids[i], *range(new, new + len(parts) - 1)]
+            new += len(parts) - 1
+            for number, part in zip(numbers, parts, strict=True):
+                self.save(number, t[part], e[part], v[part])
+            table[i : i + 1] = [(number, int(t[part[0]]), int(e[part[0]])) for number, part in zip(numbers, parts, strict=True)]
+        if self.keep is not None:
+            while len(table) > 1 + -(-self.keep // self.segment) + 1:
+                self.rows.removeKey((table.pop(0)[0],))
+        self.index.update((version, new, [x[0] for x in table], [x[1] for x in table], [x[2] for x in table]))
 
     def close(self) -> None:
         pass
@@ -149,11 +215,19 @@ def rolling_block(values: np.ndarray, windows: Sequence[int]) -> dict[str, np.nd
     return out
 
 
-def rolling_features(df: DataFrame, key: str, windows: tuple[int, ...] = (5, 25, 50)) -> DataFrame:
-    """Rolling statistics on a stream of (key, ts, event_id, value); equal to the batch features."""
+def rolling_features(df: DataFrame, key: str, windows: tuple[int, ...] = (5, 25, 50), segment: int = 1_000, keep: int | None = None) -> DataFrame:
+    """Rolling statistics on a stream of (key, ts, event_id, value) in any order, with a version:
+    ``latest_features`` of all rows so far equals the batch features of all rows so far."""
     names = [f"value_w{w}_{s} double" for w in windows for s in ("mean", "std", "kurt", "zscore", "entropy")]
-    schema = "series string, event_id long, ts timestamp, " + ", ".join(names)
+    schema = "series string, event_id long, ts timestamp, version long, " + ", ".join(names)
     return (
         df.groupBy(key)
-        .transformWithStateInPandas(RollingState(windows), outputStructType=schema, outputMode="Append", timeMode="None")
+        .transformWithStateInPandas(RollingState(windows, segment, keep), outputStructType=schema, outputMode="Append", timeMode="None")
     )
+
+
+def latest_features(emitted: DataFrame) -> DataFrame:
+    """The last version of every row that ``rolling_features`` emitted (event ids are unique in a series)."""
+    rest = [c for c in emitted.columns if c not in ("series", "event_id", "version")]
+    last = emitted.groupBy("series", "event_id").agg(F.max_by(F.struct(*rest), "version").alias("_r"))
+    return last.select("series", "event_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
