@@ -268,3 +268,27 @@ def test_whole_table_as_one_series(spark, pdf, block):
     parts = by_id(seasonal.decompose(rows, spec, 5, block_rows=block))
     trend = np.r_[[np.nan] * 2, np.convolve(v, np.ones(5) / 5, "valid"), [np.nan] * 2]
     assert np.allclose(parts["trend"].to_numpy(float), trend, equal_nan=True)
+
+
+@pytest.mark.parametrize("nearest", [False, True])
+def test_quantiles_from_a_poor_sketch(spark, nearest):
+    """Brackets that miss their rank, or hold far too many values, are moved and halved until they fit."""
+    rng = np.random.default_rng(6)
+    skew = np.exp(rng.standard_normal(4_000) * 3)
+    ties = np.repeat([1.0, 2.0, 5.0], [2_500, 3, 40])
+    pdf = pd.DataFrame({"s": ["a"] * len(skew) + ["b"] * len(ties) + ["c"] * 7, "value": np.concatenate([skew, ties, np.arange(7.0)])})
+    probs = {"p0": 0.0, "p1": 0.013, "p50": 0.5, "p97": 0.97, "p999": 0.999, "p100": 1.0}
+    df = spark.createDataFrame(pdf).repartition(4)
+    for accuracy, rows in ((10, 60), (2, 500), (1, 20)):
+        got = quantiles(df, ["s"], "value", probs, nearest=nearest, group_rows=rows, accuracy=accuracy).toPandas().set_index("s")
+        for s, part in pdf.groupby("s"):
+            v = np.sort(part["value"].to_numpy())
+            for name, p in probs.items():
+                want = v[int(np.round((len(v) - 1) * p))] if nearest else np.percentile(v, 100 * p)
+                assert np.isclose(got.loc[s, name], want, rtol=1e-12), (s, name, accuracy)
+
+
+def test_quantiles_without_keys_or_rows(spark):
+    df = spark.createDataFrame([(1, float(i)) for i in range(300)], "k int, value double")
+    assert quantiles(df, [], "value", {"m": 0.5}, group_rows=10, accuracy=3).first()["m"] == 149.5
+    assert quantiles(df.where("k = 2"), ["k"], "value", {"m": 0.5}, nearest=True).collect() == []

@@ -1,10 +1,11 @@
 """Exact quantiles per group (linear interpolation, or the nearest rank) that survive a huge group.
 
 ``F.percentile`` keeps the distinct values of a group in one buffer.  That is the plan while every
-group is short.  For longer groups a mergeable sketch brackets the wanted rank, the rows below the
-bracket are counted, and only the distinct values inside the bracket (a few per hundred thousand
-rows) are ranked.  A rank that falls outside its bracket fails the query instead of giving a
-wrong value.
+group is short.  For longer groups a mergeable sketch brackets every wanted rank, the rows below and
+inside the bracket are counted, and only the distinct values inside (a few per hundred thousand
+rows) are ranked.  Where the counts say that the rank lies outside, the bracket moves there; where it holds
+more than ``group_rows`` distinct values, it is halved at their median until it does not.  Each such
+step is one more aggregation, so any sketch leads to the exact value, a poor one later.
 """
 
 from __future__ import annotations
@@ -57,49 +58,65 @@ def _ranked(rows, keys, probs, nearest, group_rows, accuracy, stats) -> DataFram
         brackets = durable(brackets)  # sketches are merged in any order: fix the brackets once
     names = list(probs)
     whole = F.col("_n") <= group_rows  # short groups are ranked as a whole
-    items = []
+    ends, items = [], []
     for i, n in enumerate(names):
         p = probs[n]
         at = (F.col("_n") - 1) * F.lit(p)
-        lo_rank = F.bround(at, 0) if nearest else F.floor(at)
-        items.append(
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(whole | F.lit(p <= margin), F.col("_min")).otherwise(F.get("_e", F.lit(2 * i))).alias("lo"),
-                F.when(whole | F.lit(p >= 1 - margin), F.col("_max")).otherwise(F.get("_e", F.lit(2 * i + 1))).alias("hi"),
-                lo_rank.cast("long").alias("r0"),
-                (lo_rank if nearest else F.least(lo_rank + 1, F.col("_n") - 1)).cast("long").alias("r1"),
-                (F.lit(0.0) if nearest else at - F.floor(at)).alias("w"),
-            )
-        )
-    wanted = brackets.select(*by, F.array(*items).alias("_q"))
+        low = F.bround(at, 0) if nearest else F.floor(at)
+        lo = F.when(whole | F.lit(p <= margin), F.col("_min")).otherwise(F.get("_e", F.lit(2 * i)))
+        hi = F.when(whole | F.lit(p >= 1 - margin), F.col("_max")).otherwise(F.get("_e", F.lit(2 * i + 1)))
+        for rank in [low] if nearest else [low, F.least(low + 1, F.col("_n") - 1)]:
+            items.append(F.struct(rank.cast("long").alias("r"), lo.alias("lo"), hi.alias("hi"), F.lit(None).cast("double").alias("mid"), "_min", "_max"))
+        ends.append(F.lit(0.0) if nearest else at - F.floor(at))
+    wanted = brackets.select(*by, F.posexplode(F.array(*items)).alias("q", "_b")).select(*by, "q", "_b.*")
+    weights = brackets.select(*by, F.array(*ends).alias("_w"))
     # distinct values first: one row per (group, value), counted map-side
     counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    each = join_keys(counted, small(wanted, stats.n_series), by, "inner").select(
-        *by, "_v", "_c", F.explode("_q").alias("q")
-    )
-    below = each.groupBy(*by, "q").agg(F.coalesce(F.sum(F.when(F.col("_v") < F.col("q.lo"), F.col("_c"))), F.lit(0)).alias("_below"))
-    inside = each.where((F.col("_v") >= F.col("q.lo")) & (F.col("_v") <= F.col("q.hi")))
+    if stats.max_rows > group_rows:
+        wanted = _settled(counted, wanted, by, group_rows, stats.n_series * len(items))
+    else:
+        wanted = wanted.withColumn("_below", F.lit(0).cast("long"))
+    side = small(wanted.select(*by, "q", "r", "lo", "hi", "_below"), stats.n_series * len(items))
+    inside = join_keys(counted, side, by, "inner").where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
     w = Window.partitionBy(*by, "q").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("_cum", F.sum("_c").over(w))
-    inside = join_keys(inside, below, [*by, "q"], "inner")
-    last = F.col("_below") + F.col("_cum")  # ranks [last - c, last) hold this value
-    first = last - F.col("_c")
-
-    def value_at(rank: str) -> Column:
-        r = F.col(f"q.{rank}")
-        return F.max(F.when((r >= first) & (r < last), F.col("_v")))
-
-    picked = inside.groupBy(*by, "q").agg(value_at("r0").alias("a"), value_at("r1").alias("b"))
-    result = F.when(
-        F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
-    ).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("q.w"))
-    wide = picked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("q.i") == i, result)).alias(n) for i, n in enumerate(names)]
+    last = F.col("_below") + F.sum("_c").over(w)  # ranks [last - c, last) hold this value
+    found = inside.withColumn("_last", last).where((F.col("r") < F.col("_last")) & (F.col("r") >= F.col("_last") - F.col("_c")))
+    step = 1 if nearest else 2
+    values = found.groupBy(*by).agg(*[F.max(F.when(F.col("q") == i, F.col("_v"))).alias(f"_q{i}") for i in range(len(items))])
+    a = [F.col(f"_q{step * i}") for i in range(len(names))]
+    b = [F.col(f"_q{step * i + step - 1}") for i in range(len(names))]
+    wide = join_keys(values, small(weights, stats.n_series), by, "inner").select(
+        *by, *[(a[i] + (b[i] - a[i]) * F.get("_w", F.lit(i))).alias(n) for i, n in enumerate(names)]
     )
     return wide if keys else wide.drop(GROUP)
 
 
+def _settled(counted: DataFrame, wanted: DataFrame, by: list[str], most: int, n_wanted: int) -> DataFrame:
+    """``wanted`` with brackets that hold their rank and at most ``most`` distinct values, and ``_below``,
+    the rows of the group below the bracket."""
+    counted, wanted = durable(counted), durable(wanted)
+    inner = (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
+    rows_where = lambda c: F.coalesce(F.sum(F.when(c, F.col("_c"))), F.lit(0))
+    while True:
+        seen = join_keys(counted, small(wanted, n_wanted), by, "inner").groupBy(*by, "q", "r", "lo", "hi", "mid", "_min", "_max").agg(
+            rows_where(F.col("_v") < F.col("lo")).alias("_below"), rows_where(F.col("_v") <= F.col("hi")).alias("_upto"),
+            rows_where(F.col("_v") <= F.col("mid")).alias("_half"), F.count(F.when(inner, 1)).alias("_inside"),
+            F.percentile_approx(F.when(inner, F.col("_v")), 0.5, 10_000).alias("_next"),
+        )
+        seen = durable(seen)
+        under, over = F.col("r") < F.col("_below"), F.col("r") >= F.col("_upto")
+        many = (F.col("_inside") > most) & (F.col("lo") < F.col("hi"))
+        if seen.where(under | over | many).isEmpty():
+            return seen
+        left = F.col("r") < F.col("_half")
+        halve = many & F.col("mid").isNotNull()
+        lo = F.when(under, F.col("_min")).when(over, F.col("hi")).when(halve & ~left, F.col("mid")).otherwise(F.col("lo"))
+        hi = F.when(under, F.col("lo")).when(over, F.col("_max")).when(halve & left, F.col("mid")).otherwise(F.col("hi"))
+        # the median of the distinct values inside, for the next count; none in a bracket that has just moved
+        moved = seen.select(*by, "q", "r", lo.alias("lo"), hi.alias("hi"), F.when(many & ~under & ~over & ~halve, F.col("_next")).alias("mid"), "_min", "_max")
+        wanted = durable(moved)
+
+
 def group_boundaries(df: DataFrame, keys: Sequence[str], distance: str, percentile: float = 99.0, **kw) -> DataFrame:
     """Upper boundary of ``distance`` per group (clusters): one percentile, as ``boundary``."""
     return quantiles(df, keys, distance, {"boundary": percentile / 100.0}, **kw)
