@@ -87,7 +87,7 @@ def base_n_encode(train: DataFrame, df: DataFrame, column: str, base: int = 2) -
 def categories(train: DataFrame, column: str, limit: int = 10_000) -> list:
     found = [r[0] for r in train.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
     if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} categories; one-hot columns are not sensible")
+        raise ValueError(f"{column} has more than {limit} categories; take one_hot_cells or one_hot_vector")
     return sorted(found)
 
 
@@ -106,6 +106,42 @@ def one_hot(train: DataFrame, df: DataFrame, column: str, check: bool = True) ->
     return df.withColumns(new).drop(column)
 
 
+def _positions(train: DataFrame, df: DataFrame, column: str, check: bool) -> tuple[DataFrame, int]:
+    """``df`` with ``_position`` (0-based column of its category, -1 for the first one, NULL for one
+    that train does not have), and the number of columns.  Categories stay a distributed table."""
+    codes = ordinals(train, column).select(column, (F.col("_code") - 2).cast("int").alias("_position"))
+    rows = lookup(df, codes, column)
+    if check and not rows.where(F.col("_position").isNull()).isEmpty():
+        raise ValueError(f"{column} holds values that train does not have")
+    return rows, max(codes.count() - 1, 0)
+
+
+def one_hot_cells(train: DataFrame, df: DataFrame, column: str, check: bool = True) -> DataFrame:
+    """The cells that ``one_hot`` sets to 1, for any number of categories: the rows of ``df`` without the
+    column, with ``position`` (0-based; NULL for the first category, all of whose cells are 0) and
+    ``size`` (number of columns).
+
+    With ``check`` a value unseen in train raises; without, its row has neither position nor size.
+    """
+    rows, size = _positions(train, df, column, check)
+    position = F.when(F.col("_position") >= 0, F.col("_position")).alias("position")
+    known = F.when(F.col("_position").isNotNull(), F.lit(size)).alias("size")
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != column], position, known)
+
+
+def one_hot_vector(train: DataFrame, df: DataFrame, column: str, out: str = "vector") -> DataFrame:
+    """The same as a sparse vector of ``size`` places, for the estimators; unseen values raise."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    rows, size = _positions(train, df, column, True)
+    # the encoder leaves out the last index: that is where the first category goes
+    index = F.when(F.col("_position") < 0, F.lit(size)).otherwise(F.col("_position")).cast("double")
+    indexed = rows.withColumn("_index", index).drop("_position", column)
+    sizes = df.sparkSession.range(size, size + 1).select(F.col("id").cast("double").alias("_index"))
+    model = OneHotEncoder(inputCol="_index", outputCol=out, dropLast=True).fit(sizes)
+    return model.transform(indexed).drop("_index")
+
+
 def replace_rare(train: DataFrame, df: DataFrame, column: str, counted: str, cutoff: float = RARE_SHARE) -> DataFrame:
     """Categories below cutoff * total become "other"; values unseen in train become NULL."""
     counts = train.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(counted).alias("_n"))

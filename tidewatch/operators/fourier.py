@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Indexes of the chirp filter that one row is unfolded to.
+INDEX_BLOCK = 100_000
 J, M, RE, IM = "_j", "_m", "_re", "_im"
 
 
@@ -79,6 +81,18 @@ def _chirp(j: Column, n: Column) -> Column:
     return F.pmod(j * j, 2 * n) / n * math.pi
 
 
+def _offsets(sizes: DataFrame, block: int | None = None) -> DataFrame:
+    """(_n, _m, _s) with _s = 1 - _n .. _n - 1: blocks of indexes are dealt over the tasks, and every block
+    is written out where it lands."""
+    block = block or INDEX_BLOCK
+    first = 1 - F.col("_n")
+    numbered = sizes.select("_n", M, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((2 * F.col("_n") - 2) / block))).alias("_b"))
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    start = first + F.col("_b") * block
+    inside = F.sequence(start, F.least(start + block - 1, F.col("_n") - 1))
+    return numbered.repartition(tasks, "_n", "_b").select("_n", M, F.explode(inside).alias("_s"))
+
+
 def any_length(df: DataFrame, keys: Sequence[str], pos: str, total: str, value: Column) -> DataFrame:
     """The transform of each whole series: rows (keys, n, bin, re, im), bin 0..n - 1, of
     sum(value * exp(-2 pi i bin pos / n)).  ``pos`` is 0-based, ``total`` the length."""
@@ -86,7 +100,7 @@ def any_length(df: DataFrame, keys: Sequence[str], pos: str, total: str, value:
     re, im = _turn(F.coalesce(value.cast("double"), F.lit(0.0)), F.lit(0.0), -_chirp(j, n))
     rows = df.select(*keys, n.alias("_n"), power_of_two(2 * n).alias(M), j.alias(J), re.alias(RE), im.alias(IM))
     sizes = rows.select("_n", M).distinct()
-    around = sizes.select("_n", M, F.explode(F.sequence(1 - F.col("_n"), F.col("_n") - 1)).alias("_s"))
+    around = _offsets(sizes)
     angle = _chirp(F.col("_s"), F.col("_n"))
     filters = around.select("_n", M, F.pmod(F.col("_s"), F.col(M)).alias(J), F.cos(angle).alias(RE), F.sin(angle).alias(IM))
     mine = transform(rows, [*keys, "_n"])

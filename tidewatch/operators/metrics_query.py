@@ -131,24 +131,25 @@ def pivot_values(df: DataFrame, column: Column) -> list[str]:
     """Distinct pivot values, refused above a fixed count (they become columns)."""
     found = df.select(column.alias("v")).where(F.col("v").isNotNull()).distinct().limit(MAX_PIVOT_VALUES + 1).collect()
     if len(found) > MAX_PIVOT_VALUES:
-        raise ValueError(f"more than {MAX_PIVOT_VALUES} pivot values; pass the wanted ones")
+        raise ValueError(f"more than {MAX_PIVOT_VALUES} pivot values; pass the wanted ones, or take connection_cells")
     return sorted(r["v"] for r in found)
 
 
-def connection_metrics(
-    df: DataFrame, client_connector: str, positions: Sequence[str] | None = None, keys: Sequence[str] = KEYS
-) -> DataFrame:
-    """Inbound averages plus one column group per outbound call position; missing cells are 0."""
-    out_events = df.where(tag("connector_name") == client_connector)
-    if positions is None:
-        positions = pivot_values(out_events, tag(POSITION_TAG))
+#: What is measured per outbound call position.
+OUTBOUND = ("avg_response_time", "throughput", "inprogress_requests")
+
+
+def _inbound(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     in_ipr = F.when(entry_points() & (F.col("metric_name") == IN_PROGRESS), F.col("value"))
     extra = {
         "_spine": F.count_if(F.col("metric_name").isin(IN_PROGRESS, REQUESTS, RESPONSE_TIME)),
         "in_ipr": F.sum(in_ipr),
     }
-    inbound = _expand(_entry_side(df, keys, extra).where(F.col("_spine") > 0), "in_").drop("_spine")
+    return _expand(_entry_side(df, keys, extra).where(F.col("_spine") > 0), "in_").drop("_spine")
 
+
+def _outbound(out_events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key, time and call position."""
     m, position = F.col("metric_name"), tag(POSITION_TAG).alias("position")
     is_requests = m == REQUESTS
     window = F.when(is_requests, tag(WINDOW_TAG).try_cast("int")).alias("_w")
@@ -157,22 +158,40 @@ def connection_metrics(
         F.sum(F.when(m == RESPONSE_TIME, F.col("value"))).alias("_rt"),
         F.sum(F.when(m == IN_PROGRESS, F.col("value"))).alias("_ipr"),
     )
-    per_position = fine.groupBy(*keys, "timestamp", "position").agg(
+    return fine.groupBy(*keys, "timestamp", "position").agg(
         # sum over windows of rt / requests = rt * sum(1 / requests)
         (F.sum("_rt") * F.sum(F.try_divide(F.lit(1.0), F.col("_req"))) / 1_000_000).alias("avg_response_time"),
         F.sum(_per_second(F.col("_req"), F.col("_w"))).alias("throughput"),
         F.sum("_ipr").alias("inprogress_requests"),
     )
+
+
+def connection_metrics(
+    df: DataFrame, client_connector: str, positions: Sequence[str] | None = None, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Inbound averages plus one column group per outbound call position; missing cells are 0."""
+    out_events = df.where(tag("connector_name") == client_connector)
+    if positions is None:
+        positions = pivot_values(out_events, tag(POSITION_TAG))
     cells = [
         F.sum(F.when(F.col("position") == p, F.col(x))).alias(f"out_{x}_{p}")
-        for x in ("avg_response_time", "throughput", "inprogress_requests")
+        for x in OUTBOUND
         for p in positions
     ]
-    outbound = per_position.groupBy(*keys, "timestamp").agg(*cells)
-    joined = inbound.join(outbound, [*keys, "timestamp"], "left")
+    outbound = _outbound(out_events, keys).groupBy(*keys, "timestamp").agg(*cells)
+    joined = _inbound(df, keys).join(outbound, [*keys, "timestamp"], "left")
     return joined.na.fill(0.0)
 
 
+def connection_cells(df: DataFrame, client_connector: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The pivot as rows, for any number of positions: inbound averages and the outbound ones of one
+    position.  A key and time without outbound calls has one row, its position NULL and its cells 0;
+    positions that are not there would be 0 in every column."""
+    out_events = df.where((tag("connector_name") == client_connector) & tag(POSITION_TAG).isNotNull())
+    outbound = _outbound(out_events, keys).withColumnsRenamed({x: f"out_{x}" for x in OUTBOUND})
+    return _inbound(df, keys).join(outbound, [*keys, "timestamp"], "left").na.fill(0.0)
+
+
 def suitability(metrics: DataFrame, apps: DataFrame, keys: Sequence[str] = KEYS, min_rows: int = MIN_ROWS) -> DataFrame:
     """Reason per key: empty, no_throughput, too_few_rows or suitable."""
     sizes = metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("throughput").alias("t"))

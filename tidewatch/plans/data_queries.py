@@ -185,6 +185,17 @@ def one_hot(spark, sf):
     return encode.one_hot(train, test.select("o_orderkey", "o_orderstatus"), "o_orderstatus")
 
 
+def one_hot_cells(spark, sf):
+    """More categories than columns can be: every order line is one."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+    return encode.one_hot_cells(rows, rows, "line")
+
+
+CELLS_SQL = """
+SELECT l_orderkey, l_linenumber, CASE WHEN c > 1 THEN (c - 2)::INTEGER END AS position, (count(DISTINCT c) OVER () - 1)::INTEGER AS size
+FROM (SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY l_orderkey * 10 + l_linenumber) AS c FROM lineitem)"""
+
+
 def rare(spark, sf):
     train, test, _ = orders(spark, sf)
     rows = encode.replace_rare(train.withColumn("c", F.col("o_custkey").cast("string")), test.select("o_orderkey", F.col("o_custkey").cast("string").alias("c")), "c", "o_orderkey", 0.0008)
@@ -276,6 +287,7 @@ QUERIES = [
     Query("evidence_encoding", evidence_encoded, EVIDENCE_SQL),
     Query("hash_encoding", hashed),
     Query("base_n_encoding", base_n, BASE_N_SQL),
+    Query("one_hot_cells", one_hot_cells, CELLS_SQL),
     Query("one_hot_encoding", one_hot, f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS \"o_orderstatus_O\", CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS \"o_orderstatus_P\" FROM orders WHERE {TEST_SQL}"),
     Query("rare_categories", rare, RARE_SQL),
     Query("category_mean_difference", category_difference, CAT_DIFF_SQL),

@@ -101,6 +101,22 @@ SELECT {K}, {', '.join(f'round(coalesce({c}, 0), 9) AS {c}' for c in ('in_avg_re
 FROM spine LEFT JOIN av USING ({K}) LEFT JOIN th USING ({K}) LEFT JOIN ipr USING ({K}) LEFT JOIN oav USING ({K}) LEFT JOIN oth USING ({K}) LEFT JOIN oipr USING ({K})"""
 
 
+def connection_cells(spark, sf):
+    return rounded(mq.connection_cells(metric_events(spark, sf), CLIENT), 9)
+
+
+_HEAD = CONNECTION_SQL[: CONNECTION_SQL.index("oipr AS")]
+CELLS_SQL = _HEAD + f"""
+oav AS (SELECT {K}, position, sum(t / nullif(r, 0) / 1000000) AS out_avg_response_time FROM ort LEFT JOIN oreq USING ({K}, position) GROUP BY ALL),
+oth AS (SELECT {K}, position, sum(r / tw * 1000) AS out_throughput FROM oreq GROUP BY ALL),
+oipr AS (SELECT {K}, position, sum(value) AS out_inprogress_requests FROM o WHERE metric_name = 'inprogress_requests' GROUP BY ALL),
+places AS (SELECT DISTINCT {K}, position FROM o WHERE position IS NOT NULL),
+cells AS (SELECT * FROM places LEFT JOIN oav USING ({K}, position) LEFT JOIN oth USING ({K}, position) LEFT JOIN oipr USING ({K}, position)),
+spine AS (SELECT DISTINCT {K} FROM m WHERE metric_name IN ('inprogress_requests', 'requests_total', 'response_time_nanoseconds_total'))
+SELECT {K}, position, {', '.join(f'round(coalesce({c}, 0), 9) AS {c}' for c in ('in_avg_response_time', 'in_throughput', 'in_ipr', *[f'out_{x}' for x in mq.OUTBOUND]))}
+FROM spine LEFT JOIN av USING ({K}) LEFT JOIN th USING ({K}) LEFT JOIN ipr USING ({K}) LEFT JOIN cells USING ({K})"""
+
+
 def recent_apps(spark, sf):
     return mq.recent_apps(metric_events(spark, sf), F.lit("2024-02-20").cast("timestamp"))
 
@@ -305,6 +321,7 @@ QUERIES = [
     Query("app_metrics_all", app_metrics, APP_ROUND),
     Query("app_metrics_one_key", app_metrics_one_key, f"SELECT * FROM ({APP_ROUND}) WHERE app_id = 'app-3' AND version = 'v1'"),
     Query("connection_metrics_pivot", connection_metrics, CONNECTION_SQL),
+    Query("connection_metrics_cells", connection_cells, CELLS_SQL),
     Query("recent_distinct_apps", recent_apps, f"SELECT DISTINCT app_id, version FROM ({ROLE}) WHERE timestamp > TIMESTAMP '2024-01-21'"),
     Query("suitability_reasons", suitability, SUIT_SQL),
     Query("request_totals_by_window", request_totals, f"SELECT {K}, tw AS time_window, round(sum(value), 6) AS requests_total FROM ({ROLE}) WHERE entry AND metric_name = 'requests_total' GROUP BY ALL"),
