@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators import boosting, detect, features, models, normalize, split, tolerance
 from tidewatch.operators import evaluate as ev
 from tidewatch.operators.embedding import flat, matrix_windows
+from tidewatch.operators.metrics_query import drop_quiet_series
 from tidewatch.plans.roles import LABELLED_SQL, TYPE, USER, Query, labelled, rounded, stats_sql
 from tidewatch.plans.series_queries import _with_stats
+from tidewatch.plans.io_queries import new_folder
 from tidewatch.series import durable, over_series, series_stats
+from tidewatch.sources import sinks
 
 COLUMNS = ["value", "value_w5_mean", "value_w5_std", "value_w25_mean", "value_w25_std", "value_w25_zscore"]
 SCORE_COLUMNS = ["event_id", "is_anomaly"]
@@ -71,10 +77,16 @@ def cluster_evaluation(spark, sf):
 
 
 def cross_dataset(spark, sf):
-    """Fit on some series, flag another; both normalised and smoothed alike."""
-    rows = profile_rows(spark, sf)
-    train, other = rows.where(F.col("event_type") != "view"), rows.where(F.col("event_type") == "view")
+    """Fit on labelled series, flag the series of another table: its measure is renamed, quiet series are
+    dropped before normalisation, then both are normalised and smoothed alike."""
+    train = profile_rows(spark, sf).where(F.col("event_type") != "view")
+    other = labelled(spark, sf).where(F.col("event_type") == "view")
+    other = other.select("event_id", F.concat_ws("|", "event_type", F.col("user_id") % 20).alias("event_type"), "ts", F.col("value").alias("throughput"), "is_anomaly")
+    other = drop_quiet_series(other.withColumnRenamed("throughput", "value"), ["event_type"], "value", 100.0)
+    stats = series_stats(other, TYPE.series)
+    other = features.smooth(normalize.by_percentile(other, TYPE, 90.0, stats=stats), TYPE, 3.0, stats=stats)
     profile = detect.Profile.named("spike")
+    other = durable(features.cluster_features(other, TYPE, stats=stats).select("event_id", "event_type", "ts", "is_anomaly", *dict.fromkeys(("value", *profile.features))))
     out = detect.detect_profiles(other, [profile], train=train, percentile=detect.CROSS_DATASET_PERCENTILE)
     return out.select("event_id", "is_anomaly", "predicted")
 
@@ -174,10 +186,37 @@ def fold_evaluation(spark, sf):
     return rounded(ev.fold_summary(result, ["accuracy", "precision", "recall", "auc", "f1"], keys=["type"]))
 
 
+#: The listed settings of the parameter search.
+SEARCH = {"step": [0.01, 0.05, 0.001, 0.0001], "depth": [2, 3, 5, 7], "positive_weight": [1.0, 4.0, 8.0, 0.25, 0.1, 0.03]}
+
+
 def tuned(spark, sf):
-    rows = split.contiguous_folds(feature_rows(spark, sf).where("split = 'train'").drop("split"), TYPE, 2)
-    board, _ = models.search(rows, COLUMNS, models.deep_boosted_trees(rounds=2), {"maxDepth": [2, 4], "stepSize": [0.1]}, fold="fold", folds=2)
-    return rounded(models.leaderboard(spark, board), 4)
+    """All points of the grid on five contiguous folds, by successive halving."""
+    train = feature_rows(spark, sf).where("split = 'train'")
+    points = [replace(DEEP, step=e, depth=d, leaves=2**d, positive_weight=w) for e, d, w in product(*SEARCH.values())]
+    return rounded(boosting.leaderboard(spark, boosting.search(folded(train), COLUMNS, "fold", points), list(SEARCH)), 6)
+
+
+def saved_run(spark, sf):
+    """A detector fitted, saved and loaded again; its scored test rows written and read back."""
+    rows = feature_rows(spark, sf)
+    folder = new_folder(spark)
+    boosting.fit(rows.where("split = 'train'"), COLUMNS, settings=DEEP, rounds=5).save(spark, f"{folder}/model")
+    model = boosting.Boosted.load(spark, f"{folder}/model")
+    scored = boosting.score(model, rows.select("event_id", "event_type", "split", "is_anomaly", *COLUMNS)).withColumn("predicted", F.round("score").cast("int"))
+    sinks.write_split(scored, f"{folder}/rows", "is_anomaly", "predicted")
+    back = spark.read.parquet(f"{folder}/rows")
+    return rounded(back.select("event_id", "split", "target", "predict", "score"), 6)
+
+
+def saved_detector(spark, sf):
+    """Centres and boundaries written and read back, applied to all rows."""
+    rows = feature_rows(spark, sf)
+    means = rows.groupBy("event_type").agg(*[F.avg(c).alias(c) for c in CENTRE_COLUMNS]).orderBy("event_type").collect()
+    detector = detect.ClusterDetector(CENTRE_COLUMNS, [[r[c] for c in CENTRE_COLUMNS] for r in means]).with_boundaries(rows.where("is_anomaly = 0"), 99.0)
+    path = f"{new_folder(spark)}/detector"
+    detector.save(spark, path)
+    return rounded(detect.ClusterDetector.load(spark, path).transform(rows).select("event_id", "cluster", "distance", "predicted"))
 
 
 def isolation(spark, sf):
@@ -273,6 +312,8 @@ QUERIES = [
     Query("model_evaluation", model_evaluation),
     Query("fold_evaluation", fold_evaluation),
     Query("model_search_leaderboard", tuned),
+    Query("saved_run", saved_run),
+    Query("saved_detector", saved_detector, CENTRES_SQL),
     Query("isolation_scores", isolation),
     Query("isolation_score_range", isolation_share, "SELECT count(*) AS n, count(*) AS inside FROM events"),
     Query("window_reconstruction", window_reconstruction),
