@@ -9,7 +9,9 @@ share of c = 0, so that
 
 Transitions and class emissions are ``STATES`` x (``STATES`` + ``OWN`` + ``ENDINGS`` + 1) numbers
 whatever the corpus; each Baum-Welch round sums expected counts per task, then across tasks, and
-only those sums reach the driver.  Word counts have no such bound: they stay in a table, and the
+only those sums reach the driver.  Rounds over all training texts go on until the likelihood of a token
+rises by less than ``TOLERANCE``; they start from a model of about ``START_BYTES`` of the texts, which
+took up to ``START_ROUNDS`` rounds of its own (all counts of the result come from all texts).  Word counts have no such bound: they stay in a table, and the
 counts that a batch of texts needs are sent to it by a join (a batch counts its own training words,
 so only words that also occur elsewhere are sent).
 """
@@ -31,13 +33,19 @@ from tidewatch.llm.words import Words, in_slices
 STATES = 6
 OWN = 768
 ENDINGS = 512
-ROUNDS = 3
+#: A rise of the log10 likelihood per token that ends the rounds, and the most rounds over all texts.
+TOLERANCE = 0.001
+MOST_ROUNDS = 50
+#: Training texts (chosen by hash) from which the rounds start, and the rounds there.
+START_BYTES = 4_000_000
+START_ROUNDS = 30
 #: Text that one scoring batch holds.
 BATCH_BYTES = 8_000_000
 #: Tokens whose forward and backward values are held at once.
 HELD_TOKENS = 250_000
-#: Steps between two scalings of the forward and backward values.
+#: Forward and backward values are scaled every few steps, and at once where a sum falls below LEAST.
 SCALE_STEPS = 6
+LEAST = 1e-60
 END = b""  # no word is empty
 ADD = 0.1
 
@@ -132,11 +140,12 @@ class Lattice:
 
     Row ``offsets[t] + i`` belongs to step t of sequence i; step t has the ``alive[t]`` sequences
     longer than t.  Emissions are divided by their largest over the states, forward and backward
-    values by their sums at every ``SCALE_STEPS``-th step; the logarithms of both are kept.
+    values by their sums at every ``SCALE_STEPS``-th step, and wherever one falls below ``LEAST``;
+    the logarithms of both are kept.
     """
 
-    def __init__(self, sequences: list[np.ndarray], model: Model, kind: type = np.float64):
-        self.start, self.move, self.size = model.start.astype(kind), model.move.astype(kind), model.emit.shape[1]
+    def __init__(self, sequences: list[np.ndarray], model: Model):
+        self.start, self.move, self.size = model.start, model.move, model.emit.shape[1]
         lengths = np.array([len(s) for s in sequences])
         self.alive = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
         self.offsets = np.concatenate([[0], np.cumsum(self.alive)])
@@ -149,7 +158,7 @@ class Lattice:
         self.seen = np.empty(len(flat), dtype=np.int64)
         self.seen[self.rows] = flat
         top = model.emit.max(axis=0)
-        self.e = np.ascontiguousarray((model.emit / top).T.astype(kind))[self.seen]
+        self.e = np.ascontiguousarray((model.emit / top).T)[self.seen]
         self.log = np.bincount(self.sequence, np.log10(top)[self.seen], len(lengths))
 
     def forward(self) -> np.ndarray:
@@ -157,13 +166,14 @@ class Lattice:
         self.a = np.empty_like(self.e)
         off, alive, move, e, a = self.offsets.tolist(), self.alive.tolist(), self.move, self.e, self.a
         np.multiply(e[: alive[0]], self.start, out=a[: alive[0]])
+        ones = np.ones(e.shape[1])
         for t in range(1, len(alive)):
             n, now, last = alive[t], off[t], off[t - 1]
             here = a[now : now + n]
             np.dot(a[last : last + n], move, out=here)
             here *= e[now : now + n]
-            if t % SCALE_STEPS == 0:
-                total = here.sum(axis=1)
+            total = here @ ones
+            if t % SCALE_STEPS == 0 or total.min() < LEAST:
                 here /= total[:, None]
                 self.log[:n] += np.log10(total)
         at_end = self.rows[self.ends - 1]
@@ -175,14 +185,15 @@ class Lattice:
         off, alive, e, a = self.offsets, self.alive, self.e, self.a
         back = np.ascontiguousarray(self.move.T)
         b = np.ones_like(e)
+        ones = np.ones(e.shape[1])
         n_alive, at = alive.tolist(), off.tolist()
         for t in range(len(alive) - 2, -1, -1):
             n, now, after = n_alive[t + 1], at[t], at[t + 1]
             here = b[now : now + n]
             np.dot(e[after : after + n] * b[after : after + n], back, out=here)
-            if t % SCALE_STEPS == 0:
-                here /= here.sum(axis=1)[:, None]
-        ones = np.ones(e.shape[1], dtype=e.dtype)
+            total = here @ ones
+            if t % SCALE_STEPS == 0 or total.min() < LEAST:
+                here /= total[:, None]
         later = (e * b)[off[1] :]
         earlier = a[np.arange(off[1], off[-1]) - np.repeat(alive[:-1], alive[1:])]
         later /= np.einsum("ij,ij->i", earlier @ self.move, later)[:, None]
@@ -210,7 +221,7 @@ def re_estimate(rows: DataFrame, model: Model, classes: Classes, class_share: np
             for _, tokens in tokenized(batch):
                 sequences = classes.sequences(tokens)
                 for group in grouped(sequences):
-                    lattice = Lattice([sequences[i] for i in group], model, np.float32)
+                    lattice = Lattice([sequences[i] for i in group], model)
                     total[0] += lattice.forward().sum()
                     total[1:] += np.concatenate([x.ravel() for x in lattice.counts()])
         at = np.flatnonzero(total)
@@ -262,8 +273,32 @@ def batch_words(rows: DataFrame) -> DataFrame:
     return rows.select("text", "batch", "held_out").repartition("batch").mapInArrow(count, "word binary, batch int, n long")
 
 
-def fit(rows: DataFrame, counts: DataFrame, states: int = STATES, rounds: int = ROUNDS, n_own: int = OWN, n_endings: int = ENDINGS) -> Fitted:
-    """Train on ``rows`` (text) with ``counts`` (word, c), one row per training word."""
+def until_flat(rows: DataFrame, model: Model, classes: Classes, share: np.ndarray, tokens: int, tolerance: float, most: int) -> Model:
+    """Baum-Welch rounds until the log10 likelihood per token rises by less than ``tolerance``."""
+    before = None
+    for _ in range(most):
+        model, likelihood = re_estimate(rows, model, classes, share)
+        if before is not None and likelihood - before < tolerance * max(tokens, 1):
+            break
+        before = likelihood
+    return model
+
+
+def start_sample(rows: DataFrame, size: int, most: int) -> tuple[DataFrame, int]:
+    """About ``most`` bytes of the texts (longer ones than that left out), written once, and their tokens."""
+    share = min(1.0, most / max(size, 1))
+    some = rows.where((F.octet_length("text") <= most) & (F.pmod(F.xxhash64(F.lit("start"), "text"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    some = stored(some.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism), F.xxhash64("text")), "start")
+    words = F.size(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    return some, int(some.agg(F.sum(words + 1).alias("n")).first().n or 0)
+
+
+def fit(
+    rows: DataFrame, counts: DataFrame, states: int = STATES, rounds: int | None = None, n_own: int = OWN, n_endings: int = ENDINGS,
+    tolerance: float = TOLERANCE, start_bytes: int = START_BYTES, size: int = 0,
+) -> Fitted:
+    """Train on ``rows`` (text, ``size`` bytes) with ``counts`` (word, c), one row per training word.
+    ``rounds``: exactly as many from the first model, instead of until the likelihood is flat."""
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(n_own).collect()  # at most n_own rows
     classes = Classes([bytes(r.word) for r in top], n_own, n_endings)
@@ -274,19 +309,23 @@ def fit(rows: DataFrame, counts: DataFrame, states: int = STATES, rounds: int =
         at = np.flatnonzero(sums[1])
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[0][at]), pa.array(sums[1][at], pa.int64())], ["at", "n", "v"])
 
-    size = np.zeros((2, classes.size))
+    sums_of = np.zeros((2, classes.size))
     for r in over_batches(counts, by_class, "at int, n double, v long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # as many rows as classes
-        size[:, r["at"]] = r.n, r.v
-    words, kinds = (x[n_own : n_own + n_endings] for x in size)
-    share = size[0] + ADD
+        sums_of[:, r["at"]] = r.n, r.v
+    words, kinds = (x[n_own : n_own + n_endings] for x in sums_of)
+    share = sums_of[0] + ADD
     share /= share.sum()
     model = first_model(share, states)
-    for _ in range(rounds):
+    if rounds is None and sums.n:
+        some, tokens = start_sample(rows, size, start_bytes)
+        model = until_flat(some, model, classes, share, tokens, tolerance, START_ROUNDS) if tokens else model
+        model = until_flat(rows, model, classes, share, int(sums.n), tolerance, MOST_ROUNDS)
+    for _ in range(rounds or 0):
         model, _ = re_estimate(rows, model, classes, share)
     return Fitted(model, classes, words, kinds, int(sums.n or 0), int(sums.v or 0))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, **settings: int) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, **settings: float) -> DataFrame:
     """One row per row of ``docs``: the id, held_out, n_tokens, n_known, train_tokens, base_score and
     score (log10 probability under the model trained on the rows that are not held out).
 
@@ -303,7 +342,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
         batch_words(rows).withColumn("c", F.sum("n").over(by_word)).withColumn("r", F.row_number().over(by_word.orderBy("batch"))).withColumn("parts", F.count(F.lit(1)).over(by_word)), "words"
     )
     counts = placed.where("r = 1 AND c > 0").select("word", "c")
-    fitted = fit(rows.where(~F.col("held_out")).select("text"), counts, **settings)
+    fitted = fit(rows.where(~F.col("held_out")).select("text"), counts, size=int(size), **settings)
     # a word that came in one part is counted by the batch itself
     sent = placed.where("parts > 1").select("word", "batch", "c")
     return scored(rows, sent, fitted, kind).withColumnRenamed("id", id_col)
