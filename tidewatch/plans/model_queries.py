@@ -7,9 +7,9 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import boosting, detect, features, models, normalize, split, tolerance
+from tidewatch.operators import balance, boosting, detect, features, models, normalize, split, tolerance
 from tidewatch.operators import evaluate as ev
-from tidewatch.operators.embedding import flat, matrix_windows
+from tidewatch.operators.embedding import flat, history_windows, matrix_windows
 from tidewatch.operators.metrics_query import drop_quiet_series
 from tidewatch.plans.roles import LABELLED_SQL, TYPE, USER, Query, labelled, rounded, stats_sql
 from tidewatch.plans.series_queries import _with_stats
@@ -260,6 +260,52 @@ def score_quality(spark, sf):
     return rounded(out, 4)
 
 
+HISTORY = 150
+
+
+def history_folds(spark, sf):
+    """Every row with the 150 values before it, dealt to five contiguous folds, written once."""
+    rows = labelled(spark, sf).select("event_id", "event_type", "ts", "value", "is_anomaly")
+    windows = history_windows(rows, TYPE, HISTORY, target="is_anomaly")
+    return durable(split.contiguous_folds(windows, TYPE, 5).select("event_id", "event_type", "ts", "window", F.col("label").alias("is_anomaly"), "fold"))
+
+
+def semi_windows(spark, sf):
+    total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x)
+    return history_folds(spark, sf).select("event_id", "is_anomaly", "fold", F.size("window").alias("size"), F.round(total, 4).alias("window_sum"))
+
+
+SEMI_SQL = f"""
+WITH w AS (
+  SELECT event_id, event_type, ts, is_anomaly, row_number() OVER o - 1 AS pos, count(*) OVER h AS size, sum(value) OVER h AS s FROM ({LABELLED_SQL})
+  WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id), h AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN {HISTORY} PRECEDING AND 1 PRECEDING)),
+i AS (SELECT *, row_number() OVER (ORDER BY event_type, ts, event_id) - 1 AS g, count(*) OVER () AS n FROM w WHERE pos >= {HISTORY})
+SELECT event_id, is_anomaly, (CASE WHEN g < (n % 5) * (n // 5 + 1) THEN g // (n // 5 + 1) ELSE n % 5 + (g - (n % 5) * (n // 5 + 1)) // (n // 5) END)::INTEGER AS fold,
+  size::INTEGER AS size, round(s, 4) AS window_sum
+FROM i"""
+
+
+def semi_batches(spark, sf):
+    """Window pairs for training: normal and anomalous windows in turn, drawn from the training folds."""
+    train = split.hide_labels(history_folds(spark, sf).where("fold > 0"), "is_anomaly", ["event_id"], 0.75, seed=1)
+    batch = balance.alternating_batch(train.select("event_id", "is_anomaly", "window"), "is_anomaly", ["event_id"], 512)
+    return batch.groupBy((F.col("slot") % 2).alias("turn"), "is_anomaly", F.size("window").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def semi_folds(spark, sf):
+    """Each fold scored by what the others show: a quarter of their labels, windows rebuilt from normal
+    ones, the top percent of the magnitudes flagged; originally and with neighbours, over the folds."""
+    rows = history_folds(spark, sf)
+
+    def one(train, test):
+        shown = split.hide_labels(train, "is_anomaly", ["event_id"], 0.75, seed=1)
+        scored = detect.reconstruction_scores(shown.where("is_anomaly = 0").select("window"), test, "window", 4)
+        return detect.flag_score_magnitude(scored.drop("window"))
+
+    result = models.run_folds(rows, "fold", 5, one, TYPE)
+    return rounded(ev.fold_summary(result, ["accuracy", "precision", "recall", "auc", "f1"], keys=["type"]))
+
+
 def experiments(spark, sf):
     """Two rule detectors over all series at once, evaluated per series."""
     rows = feature_rows(spark, sf)
@@ -319,5 +365,8 @@ QUERIES = [
     Query("window_reconstruction", window_reconstruction),
     Query("two_component_projection", projected),
     Query("score_quality", score_quality),
+    Query("semi_supervised_windows", semi_windows, SEMI_SQL),
+    Query("semi_supervised_batches", semi_batches, f"SELECT turn, turn AS is_anomaly, {HISTORY}::INTEGER AS size, 256::BIGINT AS n FROM (SELECT DISTINCT (event_id % 2)::BIGINT AS turn FROM events)"),
+    Query("semi_supervised_folds", semi_folds),
     Query("rule_experiments", experiments, EXPERIMENTS_SQL),
 ]
