@@ -16,8 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.series import written
+
 MAX_PIVOTS = 4_096
 BLOCK = 5_000
+#: Numbers held at once when the bounds of a batch of queries are taken.
+BOUND_NUMBERS = 8_000_000
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -53,7 +57,7 @@ def nearest(
             yield pd.DataFrame({"cell": cell.astype("int32"), "r": d[np.arange(len(d)), cell]})
 
     assign_udf = _iter_udf(assign, "cell int, r double")
-    placed = t.withColumn("_a", assign_udf("tv")).select("tid", "tv", "_a.cell", "_a.r")
+    placed = written(t.withColumn("_a", assign_udf("tv")).select("tid", "tv", "_a.cell", "_a.r"))  # read three times
     w = Window.partitionBy("cell").orderBy("r")
     closest = placed.select("cell", "r").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= need).collect()
     sizes = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("far")).collect()}
@@ -61,18 +65,24 @@ def nearest(
     near_cell = np.array([r["cell"] for r in closest], dtype=int)
     near_r = np.array([r["r"] for r in closest], dtype=float)
 
+    def limits(d: np.ndarray) -> np.ndarray:
+        """Upper bound of the distance to the ``need``-th neighbour of each query."""
+        if len(near_cell) < need:
+            return np.full(len(d), np.inf)
+        step = max(1, BOUND_NUMBERS // len(near_cell))
+        parts = [np.partition(d[a : a + step][:, near_cell] + near_r[None, :], need - 1, axis=1)[:, need - 1] for a in range(0, len(d), step)]
+        return np.concatenate(parts)
+
     def reach(batches):
         for (v,) in batches:
             d = _distances(np.stack(v.to_numpy()), centre)
-            bounds = np.sort(d[:, near_cell] + near_r[None, :], axis=1)
-            limit = bounds[:, need - 1] if bounds.shape[1] >= need else np.full(len(d), np.inf)
-            limit = limit * (1 + 1e-12) + 1e-12
+            limit = limits(d) * (1 + 1e-12) + 1e-12
             hit = d - far[None, :] <= limit[:, None]
             cells = [np.flatnonzero(h).astype("int32").tolist() for h in hit]
-            yield pd.DataFrame({"cells": cells, "ub": limit})
+            yield pd.DataFrame({"cells": cells})
 
-    reach_udf = _iter_udf(reach, "cells array<int>, ub double")
-    asked = q.withColumn("_r", reach_udf("qv")).select("qid", "qv", F.col("_r.ub").alias("ub"), F.explode("_r.cells").alias("cell"))
+    reach_udf = _iter_udf(reach, "cells array<int>")
+    asked = written(q.withColumn("_r", reach_udf("qv")).select("qid", "qv", F.explode("_r.cells").alias("cell")))  # read twice
     asked_sizes = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def blocks_of(counts: dict[int, int]) -> Column:  # blocks per cell, from at most MAX_PIVOTS counts

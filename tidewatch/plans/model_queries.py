@@ -14,7 +14,7 @@ from tidewatch.operators.metrics_query import drop_quiet_series
 from tidewatch.plans.roles import LABELLED_SQL, TYPE, USER, Query, labelled, rounded, stats_sql
 from tidewatch.plans.series_queries import _with_stats
 from tidewatch.plans.io_queries import new_folder
-from tidewatch.series import durable, over_series, series_stats
+from tidewatch.series import over_series, series_stats, written
 from tidewatch.sources import sinks
 
 COLUMNS = ["value", "value_w5_mean", "value_w5_std", "value_w25_mean", "value_w25_std", "value_w25_zscore"]
@@ -26,7 +26,7 @@ def feature_rows(spark, sf):
     every later scan reads the table instead of repeating the windows."""
     rows = labelled(spark, sf).select("event_id", "event_type", "ts", "value", "k", "is_anomaly")
     rows = over_series(rows, TYPE, lambda r, w: _with_stats(r, w), before=50)
-    return durable(split.ordered_split(rows, TYPE))
+    return written(split.ordered_split(rows, TYPE))
 
 
 def profile_rows(spark, sf):
@@ -37,7 +37,7 @@ def profile_rows(spark, sf):
     rows = features.smooth(normalize.by_percentile(rows, TYPE, 90.0, stats=stats), TYPE, 3.0, stats=stats)
     rows = features.cluster_features(rows, TYPE, stats=stats)
     used = dict.fromkeys(c for p in detect.PROFILES for c in ("value", *detect.Profile.named(p).features))
-    return durable(split.ordered_split(rows.select("event_id", "event_type", "ts", "is_anomaly", *used), TYPE))
+    return written(split.ordered_split(rows.select("event_id", "event_type", "ts", "is_anomaly", *used), TYPE))
 
 
 STATS_ROWS = stats_sql(f"SELECT event_id, event_type, ts, value, k, is_anomaly FROM ({LABELLED_SQL})")
@@ -86,7 +86,7 @@ def cross_dataset(spark, sf):
     stats = series_stats(other, TYPE.series)
     other = features.smooth(normalize.by_percentile(other, TYPE, 90.0, stats=stats), TYPE, 3.0, stats=stats)
     profile = detect.Profile.named("spike")
-    other = durable(features.cluster_features(other, TYPE, stats=stats).select("event_id", "event_type", "ts", "is_anomaly", *dict.fromkeys(("value", *profile.features))))
+    other = written(features.cluster_features(other, TYPE, stats=stats).select("event_id", "event_type", "ts", "is_anomaly", *dict.fromkeys(("value", *profile.features))))
     out = detect.detect_profiles(other, [profile], train=train, percentile=detect.CROSS_DATASET_PERCENTILE)
     return out.select("event_id", "is_anomaly", "predicted")
 
@@ -232,7 +232,7 @@ def isolation_share(spark, sf):
 def window_reconstruction(spark, sf):
     rows = labelled(spark, sf).select("event_id", "event_type", "ts", "value", "k", "is_anomaly")
     rows = normalize.zscore_per_group(rows, ["event_type"], ["value", "k"])
-    windows = durable(flat(matrix_windows(rows, TYPE, ["value", "k"], 5, "is_anomaly")).drop("window"))
+    windows = written(flat(matrix_windows(rows, TYPE, ["value", "k"], 5, "is_anomaly")).drop("window"))
     scored = detect.reconstruction_scores(windows.where("window_label = 0").select("vector"), windows, "vector", 4)
     return rounded(detect.flag_top_scores(scored).select("event_id", "window_label", "score", "predicted"), 4)
 
@@ -267,7 +267,7 @@ def history_folds(spark, sf):
     """Every row with the 150 values before it, dealt to five contiguous folds, written once."""
     rows = labelled(spark, sf).select("event_id", "event_type", "ts", "value", "is_anomaly")
     windows = history_windows(rows, TYPE, HISTORY, target="is_anomaly")
-    return durable(split.contiguous_folds(windows, TYPE, 5).select("event_id", "event_type", "ts", "window", F.col("label").alias("is_anomaly"), "fold"))
+    return written(split.contiguous_folds(windows, TYPE, 5).select("event_id", "event_type", "ts", "window", F.col("label").alias("is_anomaly"), "fold"))
 
 
 def semi_windows(spark, sf):

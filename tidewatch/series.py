@@ -13,6 +13,7 @@ puts a whole series into one task, which fails when one series holds a large sha
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -66,15 +67,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the same folder and continue from the files.  Readers take only their
+    columns, so this is the form for wide tables that several fits look at; ``durable`` keeps partitions."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     import tempfile
 
-    return tempfile.mkdtemp(prefix="tidewatch-")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidewatch-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def small(dim: DataFrame, n_rows: int) -> DataFrame:
