@@ -7,7 +7,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import balance, boosting, detect, features, models, normalize, split, tolerance
+from tidewatch.operators import balance, boosting, dense, detect, features, models, normalize, split, tolerance
 from tidewatch.operators import evaluate as ev
 from tidewatch.operators.embedding import flat, history_windows, matrix_windows
 from tidewatch.operators.metrics_query import drop_quiet_series
@@ -146,6 +146,20 @@ def gain_importances(spark, sf):
     return rounded(spark.createDataFrame(model.importances(), "feature string, importance double").orderBy(F.desc("importance"), "feature"), 4)
 
 
+def _network(settings):
+    """Five layers of 256 units, trained until ten epochs have not lowered the loss over the last 30 % of
+    the training rows."""
+
+    def build(spark, sf):
+        rows = feature_rows(spark, sf)
+        train = split.ordered_split(rows.where("split = 'train'").drop("split"), TYPE)
+        model = dense.fit(train.where("split = 'train'"), COLUMNS, train.where("split = 'test'"), settings=settings)
+        out = dense.score(model, rows.where("split = 'test'").select(*SCORE_COLUMNS, *COLUMNS))
+        return rounded(out.select(*SCORE_COLUMNS, "score", F.when(F.col("score") > 0.5, 1).otherwise(0).alias("predicted")), 4)
+
+    return build
+
+
 def single_feature(spark, sf):
     """Training on the value alone: all other columns are left out."""
     rows = split.ordered_split(labelled(spark, sf).select("event_id", "event_type", "ts", "value", "is_anomaly"), TYPE)
@@ -352,7 +366,8 @@ QUERIES = [
     Query("single_feature_ridge", single_feature, SINGLE_SQL),
     Query("ridge_scores", _model("ridge", 0.0)),
     Query("ridge_weighted_scores", _model("ridge", 0.0, balance="weight")),
-    Query("dense_network_scores", _model("dense_network", hidden=(16, 16), rounds=20, balance="replicate")),
+    Query("dense_network_scores", _network(dense.PLAIN)),
+    Query("dense_network_weighted_scores", _network(dense.WEIGHTED)),
     Query("top_group_detection", top_group_detection),
     Query("feature_importances", importances),
     Query("model_evaluation", model_evaluation),
