@@ -140,3 +140,20 @@ def test_entropy_sentinels():
     assert entropy(np.array([1.0, -2.0, 3.0])) == 10000.0
     assert entropy(np.zeros(5)) == 10000.0
     assert np.isclose(entropy(np.array([-1.0, -1.0])), np.log(2))
+
+
+def test_moments_keep_digits_beside_a_jump(spark):
+    """Frames on both sides of a jump of 1e9, and across it."""
+    pdf = make_series(5, sizes=(230,), zeros=False)
+    pdf["value"] = pdf["value"] + np.where(pdf["t"] % 1500 > 700, 1e9, 0.0)
+    got = by_id(features.cluster_features(rows_of(spark, pdf), SPEC))
+    v = pdf["value"].to_numpy(float)
+    near = v - np.where(pdf["t"] % 1500 > 700, 1e9, 0.0)
+    want, calm = stats(v), stats(near)
+    for n in (5, 25, 50):
+        jump = rolling(v, n, np.ptp) > 1e8
+        inside = ~jump & (np.arange(len(v)) >= n - 1)
+        for k in ("std", "kurt", "zscore"):
+            c = f"value_w{n}_{k}"
+            assert np.allclose(got[c][inside], calm[c][inside], rtol=1e-5, atol=1e-5), c
+            assert np.allclose(got[c][jump], want[c][jump], rtol=1e-7, atol=1e-7), c

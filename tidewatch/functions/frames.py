@@ -39,35 +39,39 @@ def unbiased_kurtosis(population: Column, n: int) -> Column:
     return ((n + 1) * population + 6) * ((n - 1) / ((n - 2) * (n - 3)))
 
 
-CENTRE = "_ctr"
-CENTRE_REACH = 10.0
-
-
-def with_centre(df: DataFrame, w: WindowSpec, column: str) -> DataFrame:
-    """Add the first value of the partition: a common shift for the power sums of all its frames."""
-    first = F.first(F.col(column), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(CENTRE, first)
-
+def with_references(df: DataFrame, w: WindowSpec, column: str, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """Add, per window length, the value's distances from two references, for the power sums of its frames.
+
+    Cut into runs of n rows, a frame of n rows lies in two neighbouring runs and always holds the first
+    row of the later one.  That row's value is the frame's reference: no distance exceeds the frame's own
+    range, so its power sums lose no digits.  As a run is the later or the earlier one of a frame, a row
+    has the distance ``_e`` from the start of the even one of its own and the next run, and ``_o`` from
+    that of the odd one.  Needs ``_pos``.
+    """
+    c, starts = F.col(column), {}
+    for n in windows:
+        first = F.when(F.col(POS) % n == 0, c)
+        starts[f"_own{n}"] = F.last(first, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        starts[f"_next{n}"] = F.max(first).over(w.rowsBetween(1, n))
+    rows = df.withColumns(starts)
+    distances = {}
+    for n in windows:
+        own, following = c - F.col(f"_own{n}"), c - F.col(f"_next{n}")
+        distances[f"_e{n}"] = F.when(even_run(n), own).otherwise(following)
+        distances[f"_o{n}"] = F.when(even_run(n), following).otherwise(own)
+    return rows.withColumns(distances).drop(*starts)
 
-def frame_kurtosis(frame: Column, mean: Column, std: Column, sums: tuple[Column, ...], n: int) -> Column:
-    """Population excess kurtosis of a full frame; NULL when constant.
 
-    From power sums around the partition's centre while the frame lies within ``CENTRE_REACH``
-    standard deviations of it (no loss of digits), else in two passes over the collected frame.
-    ``F.kurtosis`` over a sliding frame costs about ten times as much.
-    """
-    s2, s3, s4 = sums
-    variance = std * std * ((n - 1) / n)
-    m = mean - F.col(CENTRE)
-    near = F.abs(m) <= std * CENTRE_REACH
-    from_sums = s4 - m * s3 * 4 + m * m * s2 * 6 - m * m * m * m * (3 * n)
+def even_run(n: int) -> Column:
+    return F.col(POS) % (2 * n) < n
 
-    def fourth(acc: Column, x: Column) -> Column:
-        d = x - mean
-        return acc + d * d * d * d
 
-    moment = F.when(near, from_sums).otherwise(F.aggregate(frame, F.lit(0.0), fourth))
-    return F.try_divide(moment, variance * variance * n) - 3
+def frame_moments(sums: tuple[Column, ...], n: int) -> tuple[Column, Column]:
+    """Sum of squares and of fourth powers around the mean of a frame, from the sums of the first four
+    powers of the distances; exactly 0 when constant."""
+    s1, s2, s3, s4 = sums
+    m = s1 / n
+    return s2 - m * s1, s4 - m * s3 * 4 + m * m * s2 * 6 - m * m * m * s1 * 3
 
 
 def rolling_zscore(c: Column, w: WindowSpec, n: int) -> Column:
@@ -116,23 +120,22 @@ def ratio_to_own_mean(c: Column, w: WindowSpec, n: int = RATIO_WINDOW) -> Column
 def base_stat_windows(column: str, w: WindowSpec, windows: tuple[int, ...] = WINDOWS) -> dict[str, Column]:
     """Raw frame aggregates behind mean, std, kurt, zscore and entropy, keyed by helper name.
 
-    Needs the column of ``with_centre``.
+    Needs the columns of ``with_references``.
 
     Unused ones are pruned by the optimizer; all frames share one (partition, order), so they run
     in one pass over one sort.
     """
     c = F.col(column)
-    y = c - F.col(CENTRE)
     raw: dict[str, Column] = {}
     for n in windows:
         f = trailing(w, n)
         raw[f"_c{n}"] = F.count(c).over(f)
         raw[f"_m{n}"] = F.avg(c).over(f)
-        raw[f"_s{n}"] = F.stddev_samp(c).over(f)
-        raw[f"_k{n}"] = F.collect_list(c).over(f)
-        raw[f"_q{n}"] = F.sum(y * y).over(f)
-        raw[f"_r{n}"] = F.sum(y * y * y).over(f)
-        raw[f"_t{n}"] = F.sum(y * y * y * y).over(f)
+        for side in "eo":
+            y = power = F.col(f"_{side}{n}")
+            for k in range(1, 5):
+                raw[f"_{side}{n}_{k}"] = F.sum(power).over(f)
+                power = power * y
         raw[f"_h{n}"] = F.sum(entropy_term(c)).over(f)
         raw[f"_lo{n}"] = F.min(c).over(f)
         raw[f"_hi{n}"] = F.max(c).over(f)
@@ -154,14 +157,16 @@ def base_stats(
     out: dict[str, Column] = {}
     for n in windows:
         full = F.col(f"_c{n}") == n
-        mean, std = F.col(f"_m{n}"), F.col(f"_s{n}")
+        mean = F.col(f"_m{n}")
+        sums = tuple(F.when(even_run(n), F.col(f"_e{n}_{k}")).otherwise(F.col(f"_o{n}_{k}")) for k in range(1, 5))
+        squares, fourths = frame_moments(sums, n)
+        squares = F.greatest(squares, F.lit(0.0))
+        own = F.when(even_run(n), F.col(f"_e{n}")).otherwise(F.col(f"_o{n}"))
         now = {
             "mean": mean,
-            "std": std,
-            "kurt": unbiased_kurtosis(
-                frame_kurtosis(F.col(f"_k{n}"), mean, std, tuple(F.col(f"_{k}{n}") for k in "qrt"), n), n
-            ),
-            "zscore": F.try_divide(c - mean, std * ((n - 1) / n) ** 0.5),
+            "std": F.sqrt(squares / (n - 1)),
+            "kurt": unbiased_kurtosis(F.try_divide(fourths * n, squares * squares) - 3, n),
+            "zscore": F.try_divide(own - sums[0] / n, F.sqrt(squares / n)),
         }
         if entropy:
             now["entropy"] = entropy_from_sums(mean * n, F.col(f"_h{n}"), F.col(f"_lo{n}"), F.col(f"_hi{n}"))
@@ -172,4 +177,5 @@ def base_stats(
 
 
 def helper_names(windows: tuple[int, ...] = WINDOWS) -> list[str]:
-    return [f"_{k}{n}" for n in windows for k in ("c", "m", "s", "k", "q", "r", "t", "h", "lo", "hi")] + [CENTRE]
+    plain = [f"_{k}{n}" for n in windows for k in ("c", "m", "h", "lo", "hi", "e", "o")]
+    return plain + [f"_{side}{n}_{k}" for n in windows for side in "eo" for k in range(1, 5)]

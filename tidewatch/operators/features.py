@@ -42,7 +42,7 @@ def lag_features(df: DataFrame, spec: SeriesSpec, **kw) -> DataFrame:
     """Set A: lags, signed differences, rolling statistics without fallback, ratios."""
 
     def fn(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        rows = fr.with_centre(rows, w, "value")
+        rows = fr.with_references(rows, w, "value")
         rows = rows.withColumns(_row_windows(w, lambda c: c)).withColumnRenamed("_step_ratio", "first_ratio")
         stats = fr.base_stats("value", fallback=False, entropy=False)
         rows = rows.withColumns({**_row_expressions(lambda c: c), **stats})
@@ -62,7 +62,7 @@ def seasonal_features(df: DataFrame, spec: SeriesSpec, **kw) -> DataFrame:
 
     def fn(rows: DataFrame, w: WindowSpec) -> DataFrame:
         v = F.col("value")
-        rows = fr.with_centre(rows, w, "value")
+        rows = fr.with_references(rows, w, "value")
         rows = rows.withColumns(
             {**fr.base_stat_windows("value", w), "value_ratio": fr.ratio_to_own_mean(v, w)}
         )
@@ -77,7 +77,7 @@ def seasonal_features(df: DataFrame, spec: SeriesSpec, **kw) -> DataFrame:
         )
         season = F.coalesce(seasonal_last(F.col("_frame")), F.lit(0.0))
         rows = rows.withColumn("value_season_trend_removed", F.col("value_trend_removed") - season).drop("_frame")
-        rows = fr.with_centre(rows, w, "value_season_trend_removed")
+        rows = fr.with_references(rows, w, "value_season_trend_removed")
         rows = rows.withColumns(fr.base_stat_windows("value_season_trend_removed", w))
         rows = rows.withColumns(fr.base_stats("value_season_trend_removed", prefix="nom_"))
         nom = {f"nom_value_w50_{s}_ratio": f"nom_value_w50_{s}" for s in ("std", "kurt", "entropy")}
@@ -93,7 +93,7 @@ def cluster_features(df: DataFrame, spec: SeriesSpec, **kw) -> DataFrame:
     """Set C: lags, absolute differences, statistics with fallback, ratios (w25 own means)."""
 
     def fn(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        rows = fr.with_centre(rows, w, "value")
+        rows = fr.with_references(rows, w, "value")
         rows = rows.withColumns(_row_windows(w, F.abs)).withColumnRenamed("_step_ratio", "first_diff_ratio")
         rows = rows.withColumns({**_row_expressions(F.abs), **fr.base_stats("value")}).drop(*fr.helper_names())
         stats = ("std", "kurt", "entropy", "zscore", "mean")

@@ -45,7 +45,7 @@ def flagged_series(spark, sf):
 
 
 def _with_stats(rows, w, windows=fr.WINDOWS, **kw):
-    rows = fr.with_centre(rows, w, "value")
+    rows = fr.with_references(rows, w, "value", windows)
     rows = rows.withColumns(fr.base_stat_windows("value", w, windows))
     return rows.withColumns(fr.base_stats("value", windows=windows, **kw)).drop(*fr.helper_names(windows))
 
