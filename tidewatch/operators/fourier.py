@@ -9,15 +9,17 @@ no power of two go through the chirp form: a convolution of a power-of-two lengt
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Indexes of the chirp filter that one row is unfolded to.
 INDEX_BLOCK = 100_000
+#: Results of a transform that a task makes at once.
+CELLS = 200_000
 J, M, RE, IM = "_j", "_m", "_re", "_im"
 
 
@@ -33,29 +35,60 @@ def _side(m: Column) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2(m.cast("double")) / 2)).cast("long")
 
 
+def _starts(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """The rows at which a new line begins (equal values of ``names`` stand together)."""
+    change = np.zeros(table.num_rows, bool)
+    change[0] = True
+    for name in names:
+        codes = table.column(name).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        change[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(change)
+
+
 def _lines(df: DataFrame, keys: Sequence[str], line: str, inverse: bool, twiddle: bool) -> DataFrame:
-    """Transform each (key, line): the values at ``_at``; ``_len`` values in all, missing ones are 0."""
-    cells = df.groupBy(*keys, M, line, "_len").agg(F.collect_list(F.struct("_at", RE, IM)).alias("_c"))
+    """Transform each (key, line): the values at ``_at``; ``_len`` values in all, missing ones are 0.
+
+    Cells stay rows: sorted by line they come in batches, and a task holds a batch and ``CELLS`` results."""
+    names = [*keys, M, line]
     sign = 1.0 if inverse else -1.0
 
-    def run(cells: pd.Series, size: pd.Series, line_no: pd.Series, total: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, n, i, m in zip(cells, size, line_no, total, strict=True):
-            x = np.zeros(n, dtype=complex)
-            for cell in c:
-                x[cell["_at"]] = complex(cell[RE], cell[IM])
-            y = np.fft.ifft(x) * n if inverse else np.fft.fft(x)
+    def lines(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+        at, re, im, size, line_no, total = (table.column(c).to_numpy() for c in ("_at", RE, IM, "_len", line, M))
+        first = 0
+        while first < len(starts):
+            n = int(size[starts[first]])
+            most = min(len(starts), first + max(1, CELLS // n))
+            other = np.flatnonzero(size[starts[first:most]] != n)  # series of another length follow
+            last = first + int(other[0]) if len(other) else most
+            mine = slice(starts[first], starts[last] if last < len(starts) else table.num_rows)
+            x = np.zeros((last - first, n), dtype=complex)
+            x[number[mine] - first, at[mine]] = re[mine] + 1j * im[mine]
+            y = np.fft.ifft(x, axis=1) * n if inverse else np.fft.fft(x, axis=1)
             if twiddle:
+                i, m = line_no[starts[first:last], None].astype(np.int64), total[starts[first:last], None]
                 y = y * np.exp(sign * 2j * np.pi * ((np.arange(n, dtype=np.int64) * i) % m) / m)
-            out.append((y.real, y.imag))
-        return pd.DataFrame(out, columns=["re", "im"])
-
-    run.__annotations__ = {"cells": pd.Series, "size": pd.Series, "line_no": pd.Series, "total": pd.Series, "return": pd.DataFrame}
-    done = cells.withColumn("_y", F.pandas_udf(run, "re array<double>, im array<double>")("_c", "_len", line, M))
-    pairs = F.arrays_zip(F.col("_y.re").alias("re"), F.col("_y.im").alias("im"))
-    return done.select(*keys, M, line, F.posexplode(pairs).alias("_k", "_v")).select(
-        *keys, M, line, F.col("_k").cast("long").alias("_k"), F.col("_v.re").alias(RE), F.col("_v.im").alias(IM)
-    )
+            head = table.take(pa.array(np.repeat(starts[first:last], n))).select(names)
+            columns = [*[c.combine_chunks() for c in head.columns], pa.array(np.tile(np.arange(n, dtype=np.int64), last - first)), pa.array(y.real.reshape(-1)), pa.array(y.imag.reshape(-1))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "_k", RE, IM])
+            first = last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                table = table if kept is None else pa.concat_tables([kept, table])
+                starts = _starts(table, names)
+                if len(starts) > 1:  # the last line may go on in the next batch
+                    yield from lines(table.slice(0, starts[-1]), starts[:-1])
+                kept = table.slice(starts[-1])
+        if kept is not None:
+            yield from lines(kept, np.zeros(1, np.int64))
+
+    cells = df.select(*names, "_len", "_at", RE, IM)
+    schema = cells.select(*names, F.lit(0).cast("long").alias("_k"), F.lit(0.0).alias(RE), F.lit(0.0).alias(IM)).schema
+    return cells.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, schema)
 
 
 def transform(df: DataFrame, keys: Sequence[str], inverse: bool = False) -> DataFrame:
@@ -105,7 +138,8 @@ def any_length(df: DataFrame, keys: Sequence[str], pos: str, total: str, value:
     filters = around.select("_n", M, F.pmod(F.col("_s"), F.col(M)).alias(J), F.cos(angle).alias(RE), F.sin(angle).alias(IM))
     mine = transform(rows, [*keys, "_n"])
     theirs = transform(filters, ["_n"]).select(F.col("_n").alias("_fn"), F.col(J).alias("_fj"), F.col(RE).alias("_fr"), F.col(IM).alias("_fi"))
-    both = mine.join(theirs, (F.col("_n") == F.col("_fn")) & (F.col(J) == F.col("_fj")))
+    # as long as the series: never to be sent whole, however small its size is guessed
+    both = mine.join(theirs.hint("merge"), (F.col("_n") == F.col("_fn")) & (F.col(J) == F.col("_fj")))
     product = both.select(
         *keys, "_n", M, J, (F.col(RE) * F.col("_fr") - F.col(IM) * F.col("_fi")).alias(RE), (F.col(RE) * F.col("_fi") + F.col(IM) * F.col("_fr")).alias(IM)
     )
