@@ -3,7 +3,7 @@
 Every train row belongs to its nearest pivot.  From the distances of a query to the pivots, the
 k smallest cell radii give an upper bound on its k-th distance, and the triangle inequality rules
 out cells (and train rows) that cannot hold a neighbour.  Queries go only to the cells left.
-Cells are cut into blocks on both sides, so a task compares two bounded blocks and keeps k rows
+Small cells are packed into groups of about a block, and groups cut into blocks on both sides, so a task compares two bounded blocks and keeps k rows
 per query; the partial results are merged per query.
 """
 
@@ -22,6 +22,8 @@ MAX_PIVOTS = 4_096
 BLOCK = 5_000
 #: Numbers held at once when the bounds of a batch of queries are taken.
 BOUND_NUMBERS = 8_000_000
+#: Distances to pivots held at once.
+SLICE_NUMBERS = 2_000_000
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -33,6 +35,45 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _close_pairs(x: np.ndarray, y: np.ndarray, m: int, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of pairs that hold the ``m`` nearest rows of y of every row of x, and
+    all ties of the last one.  A product of matrices rules pairs out, with more room than it can be
+    wrong by; what is left is measured as ``_distances`` does."""
+    a, b = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    if np.isfinite(a).all() and np.isfinite(b).all():
+        near = a[:, None] + b[None, :] - 2.0 * (x @ y.T)
+        room = 8e-16 * (x.shape[1] + 16) * (a + b.max())
+    else:
+        near, room = _distances(x, y), np.zeros(len(x))
+    if skip is not None:
+        near[skip] = np.inf
+    limit = np.partition(near, m - 1, axis=1)[:, m - 1] + 2 * room
+    qi, ti = np.nonzero(near <= limit[:, None])
+    total = np.zeros(len(qi))
+    for j in range(x.shape[1]):
+        d = x[qi, j] - y[ti, j]
+        total += d * d
+    dist = np.sqrt(total)
+    if skip is not None:
+        dist[skip[qi, ti]] = np.inf
+    return qi, ti, dist
+
+
+def _packed(centre: np.ndarray, rows: np.ndarray, block: int) -> np.ndarray:
+    """The group of every cell: small cells next to each other along the widest direction of the pivots,
+    about a block of rows together, so that a query travels once to a group and not once to each of its cells."""
+    place = np.zeros(len(centre))
+    if len(centre) > 1 and np.isfinite(centre).all():
+        off = centre - centre.mean(axis=0)
+        place = off @ np.linalg.eigh(off.T @ off)[1][:, -1]
+    group, out, filled = -1, np.zeros(len(centre), dtype=int), block
+    for c in np.argsort(place, kind="stable"):
+        if filled + rows[c] > block:
+            group, filled = group + 1, 0
+        out[c], filled = group, filled + rows[c]
+    return out
+
+
 def nearest(
     queries: DataFrame, train: DataFrame, query_id: str, train_id: str, query_vector: str, train_vector: str,
     k: int = 5, exclude_same: bool = False, pivots: int | None = None, block: int = BLOCK,
@@ -50,11 +91,20 @@ def nearest(
     chosen = t.orderBy(F.xxhash64("tid"), "tid").limit(n_pivots).select("tv").collect()
     centre = np.array([r["tv"] for r in chosen], dtype=float)
 
+    slice_rows = max(1, SLICE_NUMBERS // max(1, len(centre)))
+
+    def slices(v: pd.Series) -> Iterator[np.ndarray]:
+        for a in range(0, len(v), slice_rows):
+            yield np.stack(v.iloc[a : a + slice_rows].to_numpy())
+
     def assign(batches):
         for (v,) in batches:
-            d = _distances(np.stack(v.to_numpy()), centre)
-            cell = d.argmin(axis=1)
-            yield pd.DataFrame({"cell": cell.astype("int32"), "r": d[np.arange(len(d)), cell]})
+            cell, r = [np.zeros(0, "int32")], [np.zeros(0)]
+            for x in slices(v):
+                d = _distances(x, centre)
+                cell.append(d.argmin(axis=1).astype("int32"))
+                r.append(d[np.arange(len(d)), cell[-1]])
+            yield pd.DataFrame({"cell": np.concatenate(cell), "r": np.concatenate(r)})
 
     assign_udf = _iter_udf(assign, "cell int, r double")
     placed = written(t.withColumn("_a", assign_udf("tv")).select("tid", "tv", "_a.cell", "_a.r"))  # read three times
@@ -73,12 +123,17 @@ def nearest(
         parts = [np.partition(d[a : a + step][:, near_cell] + near_r[None, :], need - 1, axis=1)[:, need - 1] for a in range(0, len(d), step)]
         return np.concatenate(parts)
 
+    in_cell = np.array([sizes[c]["n"] if c in sizes else 0 for c in range(len(centre))])
+    group_of = _packed(centre, in_cell, block)
+
     def reach(batches):
         for (v,) in batches:
-            d = _distances(np.stack(v.to_numpy()), centre)
-            limit = limits(d) * (1 + 1e-12) + 1e-12
-            hit = d - far[None, :] <= limit[:, None]
-            cells = [np.flatnonzero(h).astype("int32").tolist() for h in hit]
+            cells = []
+            for x in slices(v):
+                d = _distances(x, centre)
+                limit = limits(d) * (1 + 1e-12) + 1e-12
+                hit = d - far[None, :] <= limit[:, None]
+                cells += [np.unique(group_of[h]).tolist() for h in hit]
             yield pd.DataFrame({"cells": cells})
 
     reach_udf = _iter_udf(reach, "cells array<int>")
@@ -86,15 +141,17 @@ def nearest(
     asked_sizes = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def blocks_of(counts: dict[int, int]) -> Column:  # blocks per cell, from at most MAX_PIVOTS counts
-        values = [F.lit(-(-counts.get(c, 1) // block)).cast("long") for c in range(len(centre))]
+        values = [F.lit(max(1, -(-counts.get(c, 1) // block))).cast("long") for c in range(groups)]
         return F.get(F.array(*values), F.col("cell"))
 
-    t_blocks = blocks_of({c: r["n"] for c, r in sizes.items()})
+    groups = int(group_of.max()) + 1 if len(group_of) else 0
+    t_blocks = blocks_of({g: int(in_cell[group_of == g].sum()) for g in range(groups)})
     q_blocks = blocks_of(asked_sizes)
     left = asked.withColumn("qb", F.pmod(F.xxhash64("qid"), q_blocks)).withColumn(
         "tb", F.explode(F.sequence(F.lit(0).cast("long"), t_blocks - 1))
     )
-    right = placed.withColumn("tb", F.pmod(F.xxhash64("tid"), t_blocks)).withColumn(
+    grouped = placed.withColumn("cell", F.get(F.array(*[F.lit(int(g)) for g in group_of]), F.col("cell")))
+    right = grouped.withColumn("tb", F.pmod(F.xxhash64("tid"), t_blocks)).withColumn(
         "qb", F.explode(F.sequence(F.lit(0).cast("long"), q_blocks - 1))
     )
 
@@ -106,13 +163,9 @@ def nearest(
         out = []
         for i in range(0, len(lhs), 256):
             part = lhs.iloc[i : i + 256]
-            d = _distances(np.stack(part["qv"].to_numpy()), tv)
-            if exclude_same:
-                d = np.where(part["qid"].to_numpy()[:, None] == tid[None, :], np.inf, d)
-            m = min(k, d.shape[1])
-            limit = np.partition(d, m - 1, axis=1)[:, m - 1]
-            qi, ti = np.nonzero(d <= limit[:, None])  # k rows per query, and ties of the last one
-            dist = d[qi, ti]
+            skip = part["qid"].to_numpy()[:, None] == tid[None, :] if exclude_same else None
+            m = min(k, len(tv))
+            qi, ti, dist = _close_pairs(np.stack(part["qv"].to_numpy()), tv, m, skip)
             order = np.lexsort((ti, dist, qi))
             qi, ti, dist = qi[order], ti[order], dist[order]
             keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < m
