@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.functions import frames as fr
 from tidewatch.functions.scalars import safe_ratio
 from tidewatch.functions.spectral import seasonal_last
-from tidewatch.series import POS, SeriesSpec, fill_forward, over_series, series_stats
+from tidewatch.series import POS, TOTAL, SeriesSpec, fill_forward, over_series, series_stats
 
 SEASON_WINDOW = 50
 
@@ -136,22 +138,25 @@ def smooth(df: DataFrame, spec: SeriesSpec, sigma: float = 3.0, out: str | None
     weights = [x / total for x in weights]
     out = out or spec.value
 
+    def run(near: pd.Series, pos: pd.Series, total: pd.Series) -> pd.Series:
+        x = np.zeros((len(near), 2 * r + 1))
+        for i, values in enumerate(near):
+            x[i, : len(values)] = values
+        place, n = pos.to_numpy()[:, None], total.to_numpy()[:, None]
+        # reflect repeatedly: period 2n, second half reversed
+        at = np.mod(place + np.arange(-r, r + 1), 2 * n)
+        x = np.take_along_axis(x, np.where(at >= n, 2 * n - 1 - at, at) - np.maximum(place - r, 0), axis=1)
+        smoothed = np.zeros(len(near))
+        for j, weight in enumerate(weights):  # in this order, so that equal surroundings give equal values
+            smoothed += weight * x[:, j]
+        return pd.Series(smoothed)
+
+    run.__annotations__ = {"near": pd.Series, "pos": pd.Series, "total": pd.Series, "return": pd.Series}
+    weighted = F.pandas_udf(run, "double")
+
     def fn(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        rows = rows.withColumn("_near", F.collect_list(F.coalesce(F.col(spec.value), F.lit(0.0))).over(w.rowsBetween(-r, r)))
-        pos, total_rows = F.col("_pos"), F.col("_total")
-        start = F.greatest(pos - r, F.lit(0))
-
-        def at(i: Column) -> Column:
-            # reflect repeatedly: period 2n, second half reversed
-            m = F.pmod(i, 2 * total_rows)
-            return F.when(m >= total_rows, 2 * total_rows - 1 - m).otherwise(m)
-
-        terms = F.zip_with(
-            F.sequence(F.lit(-r), F.lit(r)),
-            F.array(*[F.lit(x) for x in weights]),
-            lambda d, k: k * F.get(F.col("_near"), (at(pos + d) - start).cast("int")),
-        )
-        return rows.withColumn(out, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).drop("_near")
+        near = F.collect_list(F.coalesce(F.col(spec.value), F.lit(0.0))).over(w.rowsBetween(-r, r))
+        return rows.withColumn("_near", near).withColumn(out, weighted("_near", POS, TOTAL)).drop("_near")
 
     return over_series(df, spec, fn, before=r, after=r, totals=True, **kw)
 

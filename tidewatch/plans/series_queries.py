@@ -273,9 +273,11 @@ GROUP BY ALL"""
 
 
 def peak_distance(spark, sf):
-    rows = features.smooth(_ev(spark, sf), TYPE, 10.0, "smooth")
+    rows = _ev(spark, sf)
+    stats = series_stats(rows, TYPE.series)
+    rows = features.smooth(rows, TYPE, 10.0, "smooth", stats=stats)
     spec = type(TYPE)(TYPE.series, TYPE.order, "smooth")
-    return features.with_peak_distance(rows, spec).select("event_id", "rows_since_peak")
+    return features.with_peak_distance(rows, spec, stats=stats).select("event_id", "rows_since_peak")
 
 
 PEAK_SQL = f"""

@@ -227,7 +227,7 @@ def fill_forward(
     had_pos = POS in df.columns
     rows = df if had_pos else with_positions(df, spec, block_rows, stats)
     rows = rows.select("*", *[c.alias(f"_v_{n}") for n, c in columns.items()])
-    rows = rows.withColumn("_fblk", F.floor(F.col(POS) / block_rows))
+    rows = written(rows.withColumn("_fblk", F.floor(F.col(POS) / block_rows)))  # read twice; fills may follow each other
     pick = F.min_by if backward else F.max_by
     edge = rows.groupBy(*keys, "_fblk").agg(
         *[pick(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(POS))).alias(f"_e_{n}") for n in columns]
