@@ -20,36 +20,40 @@ from tidewatch.sources import sinks
 
 COLUMNS = ["value", "value_w5_mean", "value_w5_std", "value_w25_mean", "value_w25_std", "value_w25_zscore"]
 SCORE_COLUMNS = ["event_id", "is_anomaly"]
-DEALT = ("split", "fold", "in_test")
+CENTRE_COLUMNS = ["value", "value_w25_mean", "value_w25_std"]
+DEALT = ("split", "fold", "in_test", "shown")
+#: Rows of a series that a task computes rolling statistics of.
+FEATURE_BLOCK = 100_000
 
 
-def feature_rows(spark, sf, dealt=split.ordered_split):
-    """Labelled events with rolling statistics and the ordered split (or folds), written once: every fit
+def feature_rows(spark, sf, dealt=split.ordered_split, columns=COLUMNS):
+    """Labelled events with the rolling statistics ``columns`` and the ordered split (or folds), written once: every fit
     and every later scan reads the table instead of repeating the windows.  Rows are dealt while they are narrow."""
     rows = labelled(spark, sf).select("event_id", "event_type", "ts", "value", "k", "is_anomaly")
     stats = series_stats(rows, TYPE.series)
-    rows = over_series(dealt(rows, TYPE, stats=stats), TYPE, lambda r, w: _with_stats(r, w), before=50, stats=stats)
-    return written(rows.select(*[c for c in rows.columns if c not in DEALT], *[c for c in rows.columns if c in DEALT]))
+    dealt_rows = dealt(rows, TYPE, stats=stats)
+    out = over_series(dealt_rows, TYPE, lambda r, w: _with_stats(r, w), before=50, stats=stats, block_rows=FEATURE_BLOCK)
+    return written(out.select(*rows.columns, *[c for c in columns if c not in rows.columns], *[c for c in DEALT if c in dealt_rows.columns]))
 
 
-def profile_rows(spark, sf):
-    """The table the three profiles look at: every series divided by its 90th percentile, smoothed,
+def profile_rows(spark, sf, profiles=tuple(detect.PROFILES)):
+    """The table the profiles look at: every series divided by its 90th percentile, smoothed,
     with the cluster features and the ordered split, written once."""
     rows = labelled(spark, sf).select("event_id", "event_type", "ts", "value", "is_anomaly")
     stats = series_stats(rows, TYPE.series)
     rows = normalize.by_percentile(split.ordered_split(rows, TYPE, stats=stats), TYPE, 90.0, stats=stats)  # dealt while narrow
-    rows = features.cluster_features(features.smooth(rows, TYPE, 3.0, stats=stats), TYPE, stats=stats)
-    used = dict.fromkeys(c for p in detect.PROFILES for c in ("value", *detect.Profile.named(p).features))
+    rows = features.smooth(rows, TYPE, 3.0, stats=stats, block_rows=FEATURE_BLOCK)
+    rows = features.cluster_features(rows, TYPE, stats=stats, block_rows=FEATURE_BLOCK)
+    used = dict.fromkeys(c for p in profiles for c in ("value", *detect.Profile.named(p).features))
     return written(rows.select("event_id", "event_type", "ts", "is_anomaly", *used, "split"))
 
 
 STATS_ROWS = stats_sql(f"SELECT event_id, event_type, ts, value, k, is_anomaly FROM ({LABELLED_SQL})")
-CENTRE_COLUMNS = ["value", "value_w25_mean", "value_w25_std"]
 
 
 def fixed_centres(spark, sf):
     """Distance to the nearest of the group means, and the flag beyond the 99th percentile."""
-    rows = feature_rows(spark, sf)
+    rows = feature_rows(spark, sf, columns=CENTRE_COLUMNS)
     means = rows.groupBy("event_type").agg(*[F.avg(c).alias(c) for c in CENTRE_COLUMNS]).orderBy("event_type").collect()
     detector = detect.ClusterDetector(CENTRE_COLUMNS, [[r[c] for c in CENTRE_COLUMNS] for r in means])
     detector = detector.with_boundaries(rows.where("is_anomaly = 0"), 99.0)
@@ -82,7 +86,7 @@ def cluster_evaluation(spark, sf):
 def cross_dataset(spark, sf):
     """Fit on labelled series, flag the series of another table: its measure is renamed, quiet series are
     dropped before normalisation, then both are normalised and smoothed alike."""
-    train = profile_rows(spark, sf).where(F.col("event_type") != "view")
+    train = profile_rows(spark, sf, ["spike"]).where(F.col("event_type") != "view")
     other = labelled(spark, sf).where(F.col("event_type") == "view")
     other = other.select("event_id", F.concat_ws("|", "event_type", F.col("user_id") % 20).alias("event_type"), "ts", F.col("value").alias("throughput"), "is_anomaly")
     other = drop_quiet_series(other.withColumnRenamed("throughput", "value"), ["event_type"], "value", 100.0)
@@ -193,7 +197,7 @@ def model_evaluation(spark, sf):
 
 
 def fold_evaluation(spark, sf):
-    rows = feature_rows(spark, sf, lambda r, spec, **kw: split.contiguous_folds(r, spec, 5, **kw))
+    rows = feature_rows(spark, sf, lambda r, spec, **kw: split.contiguous_folds(r, spec, 5, **kw), CENTRE_COLUMNS)
 
     def one(train, test):
         detector = detect.ClusterDetector.fit(train.where("is_anomaly = 0"), CENTRE_COLUMNS, 4)
@@ -228,7 +232,7 @@ def saved_run(spark, sf):
 
 def saved_detector(spark, sf):
     """Centres and boundaries written and read back, applied to all rows."""
-    rows = feature_rows(spark, sf)
+    rows = feature_rows(spark, sf, columns=CENTRE_COLUMNS)
     means = rows.groupBy("event_type").agg(*[F.avg(c).alias(c) for c in CENTRE_COLUMNS]).orderBy("event_type").collect()
     detector = detect.ClusterDetector(CENTRE_COLUMNS, [[r[c] for c in CENTRE_COLUMNS] for r in means]).with_boundaries(rows.where("is_anomaly = 0"), 99.0)
     path = f"{new_folder(spark)}/detector"
@@ -354,7 +358,7 @@ def semi_folds(spark, sf):
 
 def experiments(spark, sf):
     """Two rule detectors over all series at once, evaluated per series."""
-    rows = feature_rows(spark, sf)
+    rows = feature_rows(spark, sf, columns=["value", "value_w25_zscore", "value_w50_mean"])
     detectors = {
         "zscore": lambda d: d.withColumn("predicted", F.when(F.col("value_w25_zscore") > 2, 1).otherwise(0)),
         "level": lambda d: d.withColumn("predicted", F.when(F.col("value") > 2 * F.col("value_w50_mean"), 1).otherwise(0)),
