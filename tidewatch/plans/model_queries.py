@@ -325,13 +325,16 @@ FROM i"""
 
 def semi_batches(spark, sf):
     """Window pairs for training: normal and anomalous windows in turn, drawn from the training folds.
-    Drawn by their places; only the drawn rows carry their windows along."""
+    Drawn by their places; only the histories of the drawn rows are made into windows."""
     places = history_places(spark, sf)
     train = split.hide_labels(places.where("fold > 0"), "is_anomaly", ["event_id"], 0.75, seed=1)
     drawn = balance.alternating_batch(train.select("event_id", "event_type", PLACE, "is_anomaly"), "is_anomaly", ["event_id"], 512)
-    drawn = F.broadcast(drawn.select("slot", "is_anomaly", F.col("event_type").alias("_type"), F.col(PLACE).alias("_place")))  # 512 rows
-    windows = with_history(places).select("event_type", PLACE, "window")
-    batch = windows.join(drawn, F.col("event_type").eqNullSafe(F.col("_type")) & (F.col(PLACE) == F.col("_place")))
+    drawn = written(drawn.select("slot", "is_anomaly", F.col("event_type").alias("_type"), F.col(PLACE).alias("_place")))  # 512 rows
+    seen = drawn.select("_type", F.explode(F.sequence(F.col("_place") - HISTORY, "_place")).alias("_place")).distinct()
+    # whole histories: the 150 rows before a drawn one are the same among these rows as among all
+    near = places.join(F.broadcast(seen), F.col("event_type").eqNullSafe(F.col("_type")) & (F.col(PLACE) == F.col("_place")), "left_semi")
+    windows = with_history(near).select("event_type", PLACE, "window")
+    batch = windows.join(F.broadcast(drawn), F.col("event_type").eqNullSafe(F.col("_type")) & (F.col(PLACE) == F.col("_place")))
     return batch.groupBy((F.col("slot") % 2).alias("turn"), "is_anomaly", F.size("window").alias("size")).agg(F.count(F.lit(1)).alias("n"))
 
 
