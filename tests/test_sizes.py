@@ -107,3 +107,27 @@ def test_labels_of_negatives_need_no_rank(spark):
     got = split.hide_labels(rows, "y", ["id"], 0.75, out="shown")
     assert got.columns == ["id", "y", "shown"]
     assert got.where("shown = 1").count() == 25 and got.where("y IS NULL AND shown IS NULL").count() == 1 and got.count() == 1000
+
+
+def test_only_used_statistics_and_histories_are_made(spark, tmp_path, monkeypatch):
+    sf, kept, given = _few_events(spark, tmp_path, 4000), [], []
+    real, real_windows = model_queries.written, model_queries.history_windows
+    monkeypatch.setattr(model_queries, "written", lambda df: kept.append(df.columns) or real(df))
+    monkeypatch.setattr(model_queries, "history_windows", lambda df, *a, **kw: given.append(df) or real_windows(df, *a, **kw))
+    monkeypatch.setattr(model_queries.balance, "alternating_batch", lambda df, *a, **kw: df.where("place IN (1000, 1001) AND event_type = 'a'").withColumn("slot", F.col("place") % 2))
+    model_queries.saved_detector(spark, sf).count()
+    assert "value_w25_std" in kept[-1] and not {"value_w50_kurt", "value_w5_mean"} & set(kept[-1])
+    hidden = []
+    monkeypatch.setattr(split, "hash_rank", lambda df, *a, _real=split.hash_rank, **kw: hidden.append(df.columns) or _real(df, *a, **kw))
+    model_queries.score_quality(spark, sf)
+    assert hidden and all("value_w5_mean" not in c for c in hidden) and kept[-1] == ["is_anomaly", "score"]
+    batches = model_queries.semi_batches(spark, sf).collect()
+    assert sum(r.n for r in batches) == 2 and {r["size"] for r in batches} == {model_queries.HISTORY}
+    assert given[-1].count() <= model_queries.HISTORY + 2
+
+
+def test_feature_blocks_do_not_show(spark, tmp_path, monkeypatch):
+    sf = _few_events(spark, tmp_path, 900)
+    whole = sorted(model_queries.feature_rows(spark, sf).collect())
+    monkeypatch.setattr(model_queries, "FEATURE_BLOCK", 100)
+    assert sorted(model_queries.feature_rows(spark, sf).collect()) == whole

@@ -263,11 +263,16 @@ def projected(spark, sf):
 
 
 def score_quality(spark, sf):
-    """Score curves of a fitted model on held-out rows: the measures of a semi-supervised run."""
-    rows = split.hide_labels(feature_rows(spark, sf), "is_anomaly", ["event_id"], 0.75, seed=1, out="shown")
+    """Score curves of a fitted model on held-out rows: the measures of a semi-supervised run.  Labels are
+    hidden while rows are narrow, scores written once for the four measures."""
+
+    def hidden(rows, spec, **kw):
+        return split.hide_labels(split.ordered_split(rows, spec, **kw), "is_anomaly", ["event_id"], 0.75, seed=1, out="shown")
+
+    rows = feature_rows(spark, sf, hidden)
     train = rows.where("split = 'train'").drop("is_anomaly").withColumnRenamed("shown", "is_anomaly")
     model = models.fit("deep_boosted_trees", train, COLUMNS)
-    scored = models.score(model, rows.where("split = 'test'"), COLUMNS)
+    scored = written(models.score(model, rows.where("split = 'test'"), COLUMNS).select("is_anomaly", "score"))
     flagged = detect.flag_score_magnitude(scored)
     parts = [
         ev.roc_auc(scored, "is_anomaly", "score").select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("v")),
