@@ -182,3 +182,38 @@ def test_normal_windows_are_split_and_attack_windows_are_test(spark):
     assert [got[i] for i in normal] == ["train"] * 4 + ["validation"] + ["test"] * 5
     assert all(got[i] == "test" for i, v in enumerate(labels) if v)
     assert split.normal_window_split(df.where("false"), SeriesSpec((), ("i",), "")).count() == 0
+
+
+def test_blocks_of_neighbours_grow_with_the_table(spark, monkeypatch):
+    assert neighbors.block_rows(2_000, 64, 6) == neighbors.BLOCK  # small tables keep their tasks
+    assert neighbors.block_rows(600_000, 64, 6) > 9 * neighbors.BLOCK and neighbors.block_rows(10**9, 64, 6) * 64 * 8 <= neighbors.BLOCK_BYTES
+    assert neighbors.block_rows(60_000, 64, 200) == neighbors.BLOCK  # many cores get their tasks
+    assert neighbors._joined(np.array([3, 4, 5, 9, 1]), 9).tolist() == [0, 0, 1, 2, 3]
+    stored = []
+    monkeypatch.setattr(neighbors, "written", lambda df, f=neighbors.written: stored.append(f(df)) or stored[-1])
+    monkeypatch.setattr(neighbors, "BLOCK", 40)
+    monkeypatch.setattr(neighbors, "SIDE_BLOCKS", 2)
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(700, 5)), 1).astype(np.float32)  # single digits, and many ties
+    rows = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "id long, v array<float>")
+    got = neighbors.nearest(rows, rows, "id", "id", "v", "v", 3, exclude_same=True, pivots=4).toPandas().sort_values(["id", "rank"])
+    d = neighbors._distances(v.astype(float), v.astype(float))
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert got["near_id"].tolist() == want.ravel().tolist()
+    assert np.allclose(got["distance"], np.take_along_axis(d, want, axis=1).ravel(), rtol=0, atol=1e-12)
+    assert [s.count() for s in stored] == [700, 700]  # no vector is stored once per cell
+    assert all("array<float>" in dict(s.dtypes).values() for s in stored)
+
+
+def test_strips_bound_the_nearest_ones():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(30, 6)), np.round(rng.normal(size=(3_000, 6)), 1)
+    skip = rng.random((30, 3_000)) < 0.3
+    qi, ti, dist = neighbors._close_pairs(x, y, 5, skip)
+    d = np.where(skip, np.inf, neighbors._distances(x, y))
+    for q in range(30):
+        own = np.sort(dist[qi == q])[:5]
+        assert np.allclose(own, np.sort(d[q])[:5], rtol=0, atol=1e-12)
+        last = own[-1]
+        assert set(ti[(qi == q) & (dist <= last)]) == set(np.flatnonzero(d[q] <= last))
